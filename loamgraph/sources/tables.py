@@ -12,6 +12,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows in at least two partitions a core, for work in Python that costs far more than a shuffle.
+
+    A table that is read in more partitions is left as it is. The key is a unique one, so parts are even.
+    """
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least, key)
+
+
 class Scratch:
     """Intermediate tables in the folder that all executors share.
 
