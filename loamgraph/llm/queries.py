@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.identity import repository_of
-from loamgraph.llm import cooccurrence, source_validity
+from loamgraph.llm import abuse, cooccurrence, leakage, source_validity
 from loamgraph.sources.tables import table
 
 
@@ -30,7 +30,36 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.surprising_pairs(_changes(spark, d), min_pair=2)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.scored(docs, abuse.fit(docs, table(spark, d, "review_labels")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("abusive").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).select("doc_id", "source", F.round("score", 6).alias("score"), "abusive")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_judged(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p8_found, p8_report, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     "p2_found": """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loamgraph.llm.lexers import EXTENSIONS, fault
+from loamgraph.sources.tables import spread
 
 
 @F.pandas_udf(StringType())
@@ -19,13 +20,12 @@ def file_faults(files: DataFrame) -> DataFrame:
     The language follows from the last extension of `path`, in any case; a path of no known extension, or
     null, gives a null language and no fault. A null text has no fault, an empty one is judged like any
     other. Whole texts are read, whatever their length; brackets nested deeper than the interpreter's
-    stack allows count as valid. Files are judged one by one, so any distribution of rows balances and
-    nothing is shuffled. Other columns are ignored.
+    stack allows count as valid. Files are judged one by one, so any distribution of rows balances. Other columns are ignored.
     """
     ext = F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
     language = F.element_at(F.create_map(*[F.lit(x) for p in EXTENSIONS.items() for x in p]), F.nullif(ext, F.lit("")))
     language = F.when(ext.isin(*EXTENSIONS), language)
-    named = files.select("file_no", "repo", "path", "content", language.alias("language"))
+    named = spread(files.select("file_no", "repo", "path", "content"), "file_no").select("file_no", "repo", "path", "content", language.alias("language"))
     return named.select("file_no", "repo", "path", "language", _fault("content", "language").alias("fault"))
 
 
