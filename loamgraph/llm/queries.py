@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.identity import repository_of
-from loamgraph.llm import abuse, cooccurrence, leakage, source_validity
-from loamgraph.sources.tables import table
+from loamgraph.llm import abuse, cooccurrence, leakage, neighbours, source_validity
+from loamgraph.sources.tables import Scratch, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,27 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.surprising_pairs(_changes(spark, d), min_pair=2)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "summaries"), "summary_id", "embedding", "embedding_model", 5, 64)
+    return neighbours.close_pairs(near, 0.9).select(F.col("a").alias("summary_a"), F.col("b").alias("summary_b"))
+
+
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "embeddings"), "vec_id", "embedding", None, 5, 64)
+    return near.select(F.col("a").alias("vec_id"), F.col("b").alias("neighbour_id"), F.round("cos", 6).alias("cosine"))
+
+
+def p4_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 is a query against all vectors; itself comes first."""
+    scratch = Scratch(spark)
+    rows = neighbours.usable(table(spark, d, "embeddings"), "vec_id", "embedding", None, 64)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    units = scratch.keep(rows.withColumn("norm", norm).select(F.col("key").alias("nid"), "scope", F.transform("v", lambda x: x / F.col("norm")).cast("array<float>").alias("u")))
+    graph = neighbours.build(units, scratch)
+    hits = neighbours.search(graph, units.where(F.col("nid") % 20 == 0).withColumnRenamed("nid", "qid"), 10, scratch=scratch)
+    return hits.select(F.col("qid").alias("vec_id"), F.col("nid").alias("neighbour_id"), F.col("rank").cast("long").alias("rank"), F.round("cos", 6).alias("cosine"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -59,7 +80,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_judged(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p8_found, p8_report, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p4_found, p4_nearest, p4_search, p8_found, p8_report, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     "p2_found": """
