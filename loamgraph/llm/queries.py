@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgraph.functions.identity import repository_of
-from loamgraph.llm import abuse, cooccurrence, leakage, neighbours, source_validity
+from loamgraph.llm import abuse, cooccurrence, leakage, mixing, neighbours, source_validity
 from loamgraph.sources.tables import Scratch, table
 
 
@@ -63,6 +63,22 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(_leaks(spark, d), table(spark, d, "eval_items"))
 
 
+#: Talk early, records of work late: time in training and relative weight. Other sources keep an even weight.
+CURRICULUM = {"chat_log": [(0.0, 2.0), (1.0, 0.5)], "issue_thread": [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)], "readme": [(0.0, 0.5), (1.0, 1.5)], "commit_message": [(0.0, 0.8), (1.0, 1.2)]}
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.assign(table(spark, d, "documents"), table(spark, d, "mix_targets"), CURRICULUM)
+
+
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse.scored(docs, abuse.fit(docs, table(spark, d, "review_labels")))
@@ -80,7 +96,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_judged(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p4_found, p4_nearest, p4_search, p8_found, p8_report, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p4_found, p4_nearest, p4_search, p8_found, p8_report, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     "p2_found": """
