@@ -1,18 +1,6 @@
 """All queries of the core and the SQL that must give the same rows."""
 
-from pyspark.sql import functions as F
+from loamgraph.plans import core_problems, graph_queries
 
-from loamgraph.plans import core_problems
-from loamgraph.sources.tables import table
-
-
-def churn_topk(spark, d):
-    e = table(spark, d, "edges").where(F.col("kind") == "MODIFIES").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return e.groupBy(F.col("dst").alias("file_id")).agg(F.count_distinct("src").alias("churn")).orderBy(F.desc("churn"), "file_id").limit(25)
-
-
-QUERIES = {"churn_topk": churn_topk, **core_problems.QUERIES}
-SQL = {
-    "churn_topk": "select dst as file_id, count(distinct src) as churn from edges where kind='MODIFIES' and src is not null and dst is not null group by dst order by churn desc, file_id limit 25",
-    **core_problems.SQL,
-}
+QUERIES = {**graph_queries.QUERIES, **core_problems.QUERIES}
+SQL = {**graph_queries.SQL, **core_problems.SQL}
