@@ -31,12 +31,12 @@ def key_profile(
         ).alias("s"),
         "_k",
     ).select("s.edge_side", "s.key_id", "s.partner", "_k")
-    total = edges.agg(F.count(F.lit(1)).alias("all_rows"))
+    total = edges.count()  # one number; a columnar source answers it from its footers
     named = both.where(F.col("key_id").isNotNull())
     heavy = (
         named.groupBy("edge_side", "key_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(heavy_share) * F.col("all_rows"), F.lit(2)))
+        .where(F.col("n") >= max(heavy_share * total, 2))
         .select("edge_side", "key_id", F.lit(True).alias("is_heavy"))
     )
     marked = named.join(F.broadcast(heavy), ["edge_side", "key_id"], "left").withColumn(
@@ -65,14 +65,13 @@ def key_profile(
     )
     return (
         kinds.join(partners, ["edge_side", "key_id"], "left")
-        .join(F.broadcast(total))
         .select(
             "edge_side",
             "key_id",
             "n_rows",
             F.coalesce("n_partners", F.lit(0)).alias("n_partners"),
             "rows_per_kind",
-            (F.col("n_rows") / F.col("all_rows")).alias("row_share"),
+            (F.col("n_rows") / F.lit(max(total, 1))).alias("row_share"),
             "salted",
         )
     )

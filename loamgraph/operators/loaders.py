@@ -28,9 +28,10 @@ def judged_summaries(summaries: DataFrame, known: DataFrame, dimension: int = 64
     has = F.col("embedding").isNotNull()
     bare = F.exists("claims", lambda c: F.coalesce(F.size(c["source_refs"]), F.lit(0)) <= 0)
     formed = ~_blank("generator") & ~_blank("model") & (F.coalesce(F.size("claims"), F.lit(0)) > 0) & ~F.coalesce(bare, F.lit(True)) & has & (F.size("embedding") == dimension) & F.col("embedding_model").isNotNull()
-    first = s.where(formed).agg(F.min(F.struct(instant("created_at").alias("t"), "summary_id", "embedding_model")).alias("m")).select(F.col("m.embedding_model").alias("established"))
+    first = s.where(formed).agg(F.min(F.struct(instant("created_at").alias("t"), "summary_id", "embedding_model")).alias("m")).first()["m"]
     refs = F.concat(F.array("target_id"), F.coalesce(F.flatten(F.transform("claims", lambda c: c["source_refs"])), F.array().cast("array<string>")))
-    s = s.join(F.broadcast(first)).join(_missing(s, "summary_id", refs, known), "summary_id", "left")  # one row
+    established = F.lit(first["embedding_model"] if first else None).cast("string")
+    s = s.join(_missing(s, "summary_id", refs, known), "summary_id", "left")
     reason = (
         F.when(_blank("generator"), "no generator")
         .when(_blank("model"), "no model")
@@ -38,7 +39,7 @@ def judged_summaries(summaries: DataFrame, known: DataFrame, dimension: int = 64
         .when(F.coalesce(bare, F.lit(True)), "claim without references")
         .when(has & (F.size("embedding") != dimension), "embedding length")
         .when(has & F.col("embedding_model").isNull(), "embedding without model")
-        .when(has & (F.col("embedding_model") != F.col("established")), "another embedding model")
+        .when(has & (F.col("embedding_model") != established), "another embedding model")
         .when(F.col("unresolved"), "unknown reference")
     )
     return s.select("summary_id", "target_id", reason.alias("reject_reason"))

@@ -79,11 +79,11 @@ def orphan_references(refs: DataFrame, known: DataFrame, heavy_share: float = 0.
         .groupBy("ref_table", "pool", "ref_id", "ref_month")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min("ref_at").alias("first_at"))
     )
-    total = refs.agg(F.count(F.lit(1)).alias("all_rows"))
+    total = refs.count()  # one number
     heavy = (
         refs.groupBy("pool", "ref_id")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(F.broadcast(total), F.col("n") >= F.greatest(F.lit(heavy_share) * F.col("all_rows"), F.lit(2)))
+        .where(F.col("n") >= max(heavy_share * total, 2))
         .select("pool", "ref_id", F.lit(True).alias("is_heavy"))
     )
     marked = grouped.join(F.broadcast(heavy), ["pool", "ref_id"], "left")
