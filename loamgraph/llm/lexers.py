@@ -48,7 +48,7 @@ _STRINGS = {
 _STRINGS["typescript"] = _STRINGS["javascript"]
 _STRINGS = {k: [(re.compile(a), b and re.compile(b)) for a, b in v] for k, v in _STRINGS.items()}
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
-_FOREIGN_CHARS = {"java": "#\\`$", "kotlin": "#$\\~", "go": "#$\\?@", "rust": "\\~", "javascript": "\\@", "typescript": "\\"}
+_FOREIGN_CHARS = {"java": "#\\`$", "kotlin": "#$\\~", "go": "#$\\?@", "rust": "\\~", "javascript": "\\@#", "typescript": "\\#"}
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 _VALUE_ENDS = {")", "]", "}"}
 _BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
@@ -178,13 +178,15 @@ def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
         if not m or c in strange or text.startswith("....", i):
             raise Bad("bad_character" if not m or c in strange else "unexpected_token")
         t = m[0]
+        if t in ("?:", "..<", ":=", "<-", "&^", "&^=", "..=", "!!") and ((ecma and t != "!!") or (language == "java" and t != "!!") or (t == "!!" and language != "kotlin") or (t == "?:" and language != "kotlin") or (t == "<-" and language != "go")):
+            t = t[0]
         if t in "([{":
             stack.append(t)
         elif t in _CLOSES:
             if not stack or stack.pop() != _CLOSES[t]:
                 raise Bad("unbalanced")
         out.append(("o", t, fresh))
-        i, fresh = m.end(), False
+        i, fresh = i + len(t), False
     if stack:
         raise Bad("premature_end")
     return out
@@ -306,6 +308,9 @@ def walk(items: list[tuple], language: str, around: str) -> None:
                 raise Bad("unexpected_token")
         if kind in "([{":
             walk(t, language, kind)
+        if kind == "{" and t and language == "java" and last is not None and (last[0] == "(" or last[:2] in (("o", "->"), ("w", "else"), ("w", "try"), ("w", "do"), ("w", "finally"))):
+            if not (t[-1][0] == "{" or (t[-1][0] == "o" and t[-1][1] in (";", ":"))):
+                raise Bad("unexpected_token")
         last = item
     if around == "{" and language == "java":
         _java_block(items)
@@ -381,6 +386,10 @@ def _java_members(items: list[tuple], inside: str) -> None:
     if inside == "enum":
         cut = next((i for i, x in enumerate(items) if x[0] == "o" and x[1] == ";"), len(items))
         items = items[cut + 1 :]
+    if not items:
+        return
+    if inside == "top" and any(k == "{" and (i == 0 or items[i - 1][0] == "{" or items[i - 1][:2] in (("o", ";"), ("w", "static"))) for i, (k, _, _) in enumerate(items)):
+        raise Bad("foreign_declaration")  # initializers stand in classes only
     s = _collapse(_symbols(items, _J_KEEP))
     at = 0
     while at < len(s):
@@ -405,19 +414,24 @@ def _java_members(items: list[tuple], inside: str) -> None:
 _K_TOP = frozenset("package import fun val var class interface object typealias".split())
 
 
-def _kotlin_top(items: list[tuple]) -> None:
+_K_MEMBER = _K_TOP | {"init", "constructor"}
+
+
+def _kotlin_top(items: list[tuple], inside: bool = False) -> None:
     i, n = 0, len(items)
+    heads = _K_MEMBER if inside else _K_TOP
     while i < n:
         k, t, fresh = items[i]
         if k == "o" and t == ";":
             i += 1
             continue
-        if not fresh and i and items[i - 1][0] == "{":
+        if not inside and not fresh and i and items[i - 1][0] == "{":
             raise Bad("foreign_declaration")
+        begin = i
         # annotations and modifiers
         while i < n and ((items[i][0] == "o" and items[i][1] == "@") or (items[i][0] == "w" and items[i][1] in _MODS["kotlin"] and items[i][1] != "fun") or (items[i][0] == "w" and i and items[i - 1][0] == "o" and items[i - 1][1] in ("@", ".", ":")) or (items[i][0] == "o" and items[i][1] in (".", ":")) or items[i][0] in "(["):
             i += 1
-        if i >= n or items[i][0] != "w" or items[i][1] not in _K_TOP:
+        if i >= n or items[i][0] != "w" or items[i][1] not in heads:
             raise Bad("foreign_declaration")
         head = items[i][1]
         j = i + 1
@@ -436,7 +450,9 @@ def _kotlin_top(items: list[tuple]) -> None:
         body = False
         while j < n:
             x = items[j]
-            if x[2] and x[0] == "w" and (x[1] in _K_TOP or x[1] in _MODS["kotlin"]) and not (items[j - 1][0] == "o" and items[j - 1][1] not in (";", ">")):
+            if x[0] == "{" and head in ("class", "interface", "object") and not body and not any(y[:2] == ("w", "enum") for y in items[begin:i]):
+                _kotlin_top(x[1], True)
+            if x[2] and x[0] == "w" and (x[1] in heads or x[1] in _MODS["kotlin"]) and not (items[j - 1][0] == "o" and items[j - 1][1] not in (";", ">")):
                 break
             if x[2] and x[0] == "o" and x[1] == "@":
                 break
