@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from loamgraph.functions import routes
 from loamgraph.functions.identity import bare_name, plane_of, scoped_id
 from loamgraph.operators import answers, components, graph, hierarchy, loaders, traverse
-from loamgraph.operators.heavy_keys import key_profile  # noqa: F401
 from loamgraph.schema import RELATION_TYPES
-from loamgraph.sources.tables import Scratch, table
+from loamgraph.sources import extract
+from loamgraph.sources.tables import Scratch, spread, table
+from loamgraph.streaming import fold
 
 # ------------------------------------------------------------------ shared parts
 
@@ -484,3 +485,23 @@ def endpoint_callers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_LINKS} select call_id, count(*) as n_endpoints, min(endpoint_id) as first_endpoint from ln group by 1")
 def call_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return answers.api_links(*_routes(spark, d)).groupBy("call_id").agg(F.count(F.lit(1)).alias("n_endpoints"), F.min("endpoint_id").alias("first_endpoint"))
+
+
+# ------------------------------------------------------------------ source texts
+
+
+@query()
+def extract_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return extract.extracted_nodes(extract.facts(spread(table(spark, d, "source_files"), "file_no")))
+
+
+@query()
+def extract_edges(spark: SparkSession, d: str) -> DataFrame:
+    f = Scratch(spark).keep(extract.facts(spread(table(spark, d, "source_files"), "file_no")))
+    return extract.extracted_edges(f)
+
+
+@query("select strftime(date_trunc('day', timezone('UTC', try_cast(committed_at as timestamptz))), '%Y-%m-%d') as day, kind, count(*) as n from edges where try_cast(committed_at as timestamptz) is not null group by all")
+def daily_writes(spark: SparkSession, d: str) -> DataFrame:
+    w = fold.windowed_activity(table(spark, d, "edges"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "kind", "n")

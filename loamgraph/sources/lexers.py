@@ -5,7 +5,6 @@ and comments, characters that a language has no use for, merge-conflict markers
 raise Bad. `tree` turns the tokens into nested brackets.
 """
 
-
 import re
 
 EXTENSIONS = {"java": "java", "kt": "kotlin", "py": "python", "go": "go", "rs": "rust", "ts": "typescript", "js": "javascript"}
@@ -67,8 +66,11 @@ def _template_end(text: str, i: int, quote: str, simple: bool) -> tuple[int, boo
     raise Bad("unterminated_literal")
 
 
-def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
-    """(kind, text, first on its line) of each token; kinds: w word, n number, s literal, o operator or bracket, l lifetime."""
+def lex(text: str, language: str, at: list[int] | None = None) -> list[tuple[str, str, bool]]:
+    """(kind, text, first on its line) of each token; kinds: w word, n number, s literal, o operator or bracket, l lifetime.
+
+    at: an empty list that gets each token's place in the text.
+    """
     out: list[tuple[str, str, bool]] = []
     stack: list[str] = []
     i, n, fresh = 0, len(text), True
@@ -77,7 +79,11 @@ def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
     ecma = language in ("javascript", "typescript")
     if text.startswith("#!") and language in ("kotlin", "javascript", "typescript", "rust") and not text.startswith("#!["):
         i = len(re.match(r"[^\r\n]*", text)[0])
+    begin = 0
     while i < n:
+        if at is not None:
+            at.extend([begin] * (len(out) - len(at)))
+            begin = i
         if m := _SPACE.match(text, i):
             fresh = fresh or "\n" in m[0] or "\r" in m[0]
             i = m.end()
@@ -180,6 +186,8 @@ def lex(text: str, language: str) -> list[tuple[str, str, bool]]:
         i, fresh = i + len(t), False
     if stack:
         raise Bad("premature_end")
+    if at is not None:
+        at.extend([begin] * (len(out) - len(at)))
     return out
 
 

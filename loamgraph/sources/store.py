@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loamgraph.operators import graph
+from loamgraph.schema import EDGES_DDL, NODES_DDL
+
+SCHEMAS = {"nodes": NODES_DDL, "edges": EDGES_DDL}
 
 
 class Store:
@@ -32,7 +35,7 @@ class Store:
 
     def read(self, name: str) -> DataFrame | None:
         v = self.version(name)
-        return None if v is None else self.spark.read.parquet(f"{self.folder}/{name}/{v}")
+        return None if v is None else self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{v}")
 
     def write(self, name: str, df: DataFrame) -> str:
         v = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
