@@ -6,6 +6,7 @@ language's own parser. A text that does not lex or parse gives its File and noth
 
 import ast
 import bisect
+import json
 import posixpath
 import warnings
 from collections.abc import Iterator
@@ -145,11 +146,31 @@ class _Reader:
         base = owner or self.prefix
         return f"{base}{sep}{name}" if base else name
 
-    def callable(self, owner, name, params, body, line):
+    def marks(self, items, i, qn):
+        """Annotations between the end of what stands before and the declaration at i."""
+        j = i - 1
+        while j >= 0 and items[j].kind != "{" and items[j].text != ";":
+            j -= 1
+        for k in range(j + 1, i):
+            if items[k].text == "@" and k + 1 < i and items[k + 1].kind == "w":
+                args = next((x.inner for x in items[k + 2 : k + 3] if x.kind == "("), [])
+                paths, method = [], None
+                for part in _parts(args):
+                    named = part[0].text if len(part) > 2 and part[1].text == "=" else None
+                    texts = [y.text[1:-1] for x in part for y in (x.inner or [x]) if y.kind == "s"]
+                    if named in (None, "value", "path"):
+                        paths += texts
+                    elif named == "method":
+                        method = _text(part[2:])
+                self.link("mark", qn, items[k + 1].text, json.dumps({"paths": paths, "method": method}))
+
+    def callable(self, owner, name, params, body, line, before=None):
         types = ",".join(t or n for n, t in params)
         qn = f"{owner}#{name}({types})" if owner else f"{self.inside(None, name)}({types})"
         self.node("Method" if owner else "Function", qn, name, line, body.end if body else line)
         self.link("contains", owner or self.path, qn)
+        if before is not None:
+            self.marks(*before, qn)
         for _, t in params:
             if t and t != "self":
                 self.link("uses", owner or self.path, t.split("<")[0].strip("&*[]?."))
@@ -220,6 +241,8 @@ class _Reader:
                 body = items[j] if j < n and items[j].kind == "{" else None
                 self.node("Class", qn, nxt.text, x.line, body.end if body else x.line)
                 self.link("contains", owner or self.path, qn)
+                if g in ("java", "kotlin"):
+                    self.marks(items, i, qn)
                 if body and g != "rust":
                     self.level(body.inner, qn)
                 i = j + 1
@@ -283,7 +306,7 @@ class _Reader:
             name = next((y.text for y in (reversed(items[i + 1 : k]) if g == "kotlin" else items[i + 1 : k]) if y.kind == "w"), None)
             stop = next((y for y in range(k + 1, n) if items[y].kind == "{" or items[y].text == ";" or items[y].word("fun", "fn", "val", "var", "class", "object", "function")), n)
             if name:
-                self.callable(owner, name, _parameters(items[k].inner, g), items[stop] if stop < n and items[stop].kind == "{" else None, x.line)
+                self.callable(owner, name, _parameters(items[k].inner, g), items[stop] if stop < n and items[stop].kind == "{" else None, x.line, (items, i) if g == "kotlin" else None)
             return stop + 1 if stop < n and items[stop].kind == "{" else max(stop, k + 1)
         if g in FAMILY and owner is None:
             if x.word("const", "let", "var") and i + 3 < n and items[i + 1].kind == "w" and items[i + 2].text == "=":
@@ -301,7 +324,7 @@ class _Reader:
                 k += 1
             body = items[k] if k < n and items[k].kind == "{" else None
             if body or (k < n and items[k].text == ";"):
-                self.callable(owner, x.text, _parameters(items[i + 1].inner, g), body, x.line)
+                self.callable(owner, x.text, _parameters(items[i + 1].inner, g), body, x.line, (items, i) if g == "java" else None)
                 return k + 1
         return None
 
@@ -387,6 +410,14 @@ def extracted_nodes(f: DataFrame) -> DataFrame:
     return n.select("repo", "source_commit", "kind", F.col("a").alias("qualified_name"), "name", F.when(F.col("kind") != "Package", F.col("b")).alias("path"), "start_line", "end_line", "is_test").dropDuplicates(["repo", "source_commit", "kind", "qualified_name"])
 
 
+def annotations(f: DataFrame, kind: str) -> DataFrame:
+    """repo, source_commit, id, marks (name, paths, method) of annotated nodes of a kind."""
+    ids = f.where((F.col("fact") == "node") & (F.col("kind") == kind)).select("repo", "source_commit", "a").distinct()
+    m = f.where(F.col("fact") == "mark").withColumn("j", F.from_json("c", "paths array<string>, method string"))
+    m = m.select("repo", "source_commit", "a", F.struct(F.col("b").alias("name"), F.col("j.paths").alias("paths"), F.col("j.method").alias("method")).alias("m"))
+    return m.join(ids, ["repo", "source_commit", "a"], "left_semi").groupBy("repo", "source_commit", F.col("a").alias("id")).agg(F.collect_list("m").alias("marks"))
+
+
 def extracted_edges(f: DataFrame) -> DataFrame:
     """CONTAINS, CALLS, DEPENDS_ON and IMPORTS of each repository and commit: repo, source_commit, kind, src, dst, resolution.
 
