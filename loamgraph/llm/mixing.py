@@ -131,7 +131,7 @@ def assign(documents: DataFrame, targets: DataFrame, schedules: Mapping[str, Seq
         p = spark.createDataFrame(pieces, "source string, t0 double, t1 double, w0 double, w1 double, c0 double, c1 double")
         p = p.select(source_name(F.col("source")).alias("source"), F.struct("c1", "t0", "t1", "w0", "w1", "c0").alias("p")).groupBy("source").agg(F.sort_array(F.collect_list("p")).alias("ps"))
         uses = uses.join(F.broadcast(p), "source", "left")  # a piece per point of the given schedules
-        piece = F.element_at(F.filter("ps", lambda x: (x["c1"] >= F.col("c")) | (x["c1"] >= 1 - 1e-12)), 1)
+        piece = F.try_element_at(F.filter("ps", lambda x: (x["c1"] >= F.col("c")) | (x["c1"] >= 1 - 1e-12)), F.lit(1))
         uses = uses.withColumn("p", piece)
         slope = (F.col("p.w1") - F.col("p.w0")) / (F.col("p.t1") - F.col("p.t0"))
         need = F.greatest(F.col("c") - F.col("p.c0"), F.lit(0.0))
