@@ -11,6 +11,8 @@ from loamgraph.sources.tables import Scratch
 
 #: Baskets of more items are counted in another way, so that no basket emits all its pairs in one task.
 LARGE_BASKET = 2_000
+#: Different tails of one scope that one group works out, about.
+TAILS = 4_000
 
 
 def memberships(records: DataFrame, basket: str, item: str, scope) -> DataFrame:
@@ -131,6 +133,45 @@ def tail(p: np.ndarray, counts: np.ndarray, least: int, lf: np.ndarray | None =
     return min(1.0, rest)
 
 
+def _many_sums(q: np.ndarray, counts: np.ndarray, length: int, lf: np.ndarray) -> np.ndarray:
+    """_sum_of_trials for many rows of chances at once."""
+    pmf = np.zeros((len(q), length))
+    pmf[:, 0] = 1.0
+    lq, lr = np.log(np.maximum(q, 1e-300)), np.log1p(-q)
+    for j, n in enumerate(counts):
+        k = np.arange(min(n, length - 1) + 1)
+        b = np.exp((lf[n] - lf[k] - lf[n - k])[None, :] + lq[:, j : j + 1] * k + lr[:, j : j + 1] * (n - k))
+        new = np.zeros_like(pmf)
+        for t in k:
+            new[:, t:] += b[:, t : t + 1] * pmf[:, : length - t]
+        pmf = new
+    return pmf
+
+
+def tails(q: np.ndarray, counts: np.ndarray, least: np.ndarray, lf: np.ndarray) -> np.ndarray:
+    """`tail` of many rows: rows of like thresholds share their arrays, rows that need care go one by one."""
+    q = np.clip(q, 0.0, 1.0 - 1e-15)
+    out = np.empty(len(q))
+    size = np.ceil(np.log2(np.maximum(least, 1))).astype(int)
+    for z in np.unique(size):
+        rows = np.flatnonzero(size == z)
+        for i in range(0, len(rows), 1000):
+            at = rows[i : i + 1000]
+            reach = np.arange(int(least[at].max()))
+            rest = 1 - np.where(reach[None, :] < least[at][:, None], _many_sums(q[at], counts, max(1, len(reach)), lf), 0).sum(1)
+            out[at] = np.minimum(1.0, rest)
+            far = at[rest <= 1e-9]
+            if len(far):
+                reach = np.arange(int(least[far].max()) + 40)
+                pmf = _many_sums(q[far], counts, len(reach), lf)
+                above = np.where(reach[None, :] >= least[far][:, None], pmf, 0).sum(1)
+                done = (pmf[:, -1] <= 1e-12 * above) & (above > 0)
+                out[far] = above
+                for r in far[~done]:
+                    out[r] = tail(q[r], counts, int(least[r]), lf)
+    return out
+
+
 def log_factorials(top: int) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, top + 1, dtype=float)))])
 
@@ -147,11 +188,12 @@ def _tails_of_part(kinds: pd.DataFrame) -> pd.DataFrame:
     first = kinds.iloc[0]
     y, c = np.asarray(first["y"], float), np.asarray(first["counts"], np.int64)
     xs, lf = dict(zip(first["degrees"], first["x"])), log_factorials(int(c.max()))
-    chance = {v: xs[v] * y / (1 + xs[v] * y) for v in set(kinds["n_a"]) | set(kinds["n_b"])}
-    q = [chance[a] * chance[b] for a, b in zip(kinds["n_a"], kinds["n_b"])]
+    x = np.array([[xs[a], xs[b]] for a, b in zip(kinds["n_a"], kinds["n_b"])])
+    p, r = x[:, :1] * y[None, :], x[:, 1:] * y[None, :]
+    q = p / (1 + p) * (r / (1 + r))
     out = kinds[["scope", "n_a", "n_b", "n_ab", "n_pairs"]].copy()
-    out["expected"] = [float((c * p).sum()) for p in q]
-    out["p_value"] = [tail(p, c, int(k), lf) for p, k in zip(q, kinds["n_ab"])]
+    out["expected"] = (q * c).sum(1)
+    out["p_value"] = tails(q, c, kinds["n_ab"].to_numpy(), lf)
     return out
 
 
@@ -185,10 +227,12 @@ def surprising_pairs(m: DataFrame, min_pair: int = 2, scratch: Scratch | None =
         .agg(F.count(F.lit(1)).alias("c"))
         .unionByName(size.groupBy("scope", F.lit("basket").alias("side"), F.col("size").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     )
-    # a tail depends on the unordered degrees and the count; a scope's tails are dealt over parts
+    # a tail depends on the unordered degrees and the count; a scope's tails are dealt over parts of about TAILS
     lo, hi = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     kinds = pairs.groupBy("scope", lo.alias("n_a"), hi.alias("n_b"), "n_ab").agg(F.count(F.lit(1)).alias("n_pairs"))
-    kinds = scratch.keep(kinds.withColumn("part", F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), F.lit(8)).cast("int")))
+    kinds = scratch.keep(kinds)
+    parts = kinds.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / TAILS).alias("parts"))
+    kinds = scratch.keep(kinds.join(parts, "scope").withColumn("part", F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), F.col("parts")).cast("int")).drop("parts"))
     fits = hist.groupBy("scope").applyInPandas(_fit_of_scope, "scope string, degrees array<long>, x array<double>, y array<double>, counts array<long>")
     fits = scratch.keep(fits)
     placed = scratch.keep(kinds.select("scope", "part").distinct().join(fits, "scope"))
