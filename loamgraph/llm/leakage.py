@@ -112,10 +112,11 @@ def places_of(item: list[str]) -> dict[tuple, list[int]]:
 def leaked_span(doc: list[str], at: dict[tuple, list[int]]) -> tuple[int, float]:
     """Longest stretch of the item, in its words, that stands in the text, and the share of those words found there.
 
-    Exact: every shingle of the text that the item has is placed at all its positions in the item. Stretches join when the gap
-    is at most GAP words on either side and about equal on both.
+    Every shingle of the text that the item has is placed at all its positions in the item. Stretches join to runs when the gap
+    is at most GAP words on either side and about equal on both. In each run the longest part with a share of COVERED or more is
+    sought over all its stretches' starts, so a thin beginning takes nothing from a dense rest; a word for word stretch stays in one run.
     """
-    open_runs: list[list[int]] = []  # first item word, last item word, last doc word, covered words
+    open_runs: list[list] = []  # starts of stretches (item word, words covered before it), last item word, last doc word, covered words
     best = (0, 0.0)
     for d in range(len(doc) - SHINGLE + 1):
         places = at.get(tuple(doc[d : d + SHINGLE]))
@@ -123,22 +124,31 @@ def leaked_span(doc: list[str], at: dict[tuple, list[int]]) -> tuple[int, float]
             continue
         open_runs = [r for r in open_runs if d - r[2] <= GAP + 1]
         for p in places:
-            joined = None
+            joined, rank = None, (False, 0)
             for r in open_runs:
                 gi, gd = p - r[1] - 1, d - r[2] - 1  # words between; negative where they overlap
-                if p > r[1] - SHINGLE and p + SHINGLE - 1 > r[1] and gi <= GAP and abs(gi - gd) <= 3 and (joined is None or r[3] > joined[3]):
-                    joined = r
+                # a shingle of the text prolongs a run once only
+                if p > r[1] - SHINGLE and p + SHINGLE - 1 > r[1] and gi <= GAP and gd >= 1 - SHINGLE and abs(gi - gd) <= 3:
+                    fit = (gi == gd == 1 - SHINGLE, r[3])
+                    if joined is None or fit > rank:
+                        joined, rank = r, fit
             last = p + SHINGLE - 1
             if joined is None:
-                joined = [p, last, d + SHINGLE - 1, SHINGLE]
+                joined = [[(p, 0)], last, d + SHINGLE - 1, SHINGLE]
                 open_runs.append(joined)
             else:
+                if p > joined[1] + 1:
+                    joined[0].append((p, joined[3]))
                 joined[3] += min(SHINGLE, last - joined[1])
                 joined[1], joined[2] = last, d + SHINGLE - 1
-            span = joined[1] - joined[0] + 1
-            share = joined[3] / span
-            if share >= COVERED and span > best[0]:
-                best = (span, share)
+            for start, before in joined[0]:
+                span = last - start + 1
+                if span <= best[0]:
+                    break
+                share = (joined[3] - before) / span
+                if share >= COVERED:
+                    best = (span, share)
+                    break
     return best
 
 

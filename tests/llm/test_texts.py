@@ -54,6 +54,28 @@ def test_leaks(spark, keys):
     assert leakage.leaks(d.limit(0), it, keys).count() == 0 and leakage.leaks(d, it.limit(0), keys).count() == 0
 
 
+def test_verbatim_passage_after_edited_words(spark):
+    item = prose(60, 77)
+    sparse = [w if k % 6 < 3 else f"other{k}" for k, w in enumerate(item)]
+    docs = {
+        1: item[:3] + [f"new{k}" for k in range(6)] + item[9:25],  # three words, six changed ones, sixteen word for word
+        2: sparse[:30] + item[30:],  # half edited, half word for word
+        3: item[:30] + sparse[30:],
+        4: sparse,
+        5: item[:3] + [f"new{k}" for k in range(6)] + item[9:20],
+        6: "so on and on and on".split() + ["so"] * 20,
+    }
+    at = leakage.places_of(item)
+    found = {k: leakage.is_leak(ws, item, at) for k, ws in docs.items()}
+    assert {k for k, v in found.items() if v} == {1, 2, 3}
+    assert found[1] == (16, 1.0) and found[2][0] >= 30 and found[3][0] >= 30
+    periodic = ["ha"] * 20 + item[:5]
+    assert leakage.is_leak(["so", *periodic], periodic) == (25, 1.0)
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in docs.items()], "doc_id long, text string")
+    it = spark.createDataFrame([(1, "s", " ".join(item))], "item_id long, suite string, text string")
+    assert {r["doc_id"] for r in leakage.leaks(d, it).collect()} == {1, 2, 3}
+
+
 def test_words():
     assert words("C​afé &amp; <b>C0DE</b> м-o—х 2024") == ["cafe", "code", "m", "o", "x", "2024"]
 
