@@ -28,6 +28,8 @@ COST, ROUNDS = 30.0, 4
 SKETCH = 1024
 #: How many times likelier beside sentences of abusive documents than of clean ones a sentence must be to vote, or the kernel value that none of the clean ones may reach.
 LIKELIER, NOVEL = 4.0, 0.3
+#: Letters of a sentence that are scored as one; a longer one is scored in pieces, with so many letters in common.
+LONGEST, OVERLAP = 2_000, 300
 
 _CUT = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|[\r\n]+|\s[|]\s|;\s+")
 _LEAD = re.compile(r"^\s*(?:[-*>#|+•]+\s*|//+\s*|\[\d{1,2}:\d{2}(?::\d{2})?\]\s*|\d+[.)]\s+)*(?:[a-z]+\([^()\s]{1,40}\):\s*|[a-z]+-?\d*:\s+)?")
@@ -40,8 +42,20 @@ _OTHER = re.compile(r"[^\w' ]+|_")
 _BLANKS = re.compile(r"\s+")
 
 
+def pieces(sentence: str) -> list[str]:
+    """A sentence of up to LONGEST letters as it is; a longer one as consecutive overlapping pieces, cut at blanks where there are any."""
+    out, at = [], 0
+    while len(sentence) - at > LONGEST:
+        end = sentence.rfind(" ", at + LONGEST - OVERLAP, at + LONGEST)
+        end = at + LONGEST if end < 0 else end
+        out.append(sentence[at:end].strip())
+        back = sentence.rfind(" ", end - 2 * OVERLAP, end - OVERLAP)
+        at = end - OVERLAP if back < 0 else back + 1
+    return [*out, sentence[at:].strip()]
+
+
 def sentences(text: str) -> list[str]:
-    """A text's sentences in the form the kernel reads; whole texts, repeats included once.
+    """A text's sentences in the form the kernel reads; whole texts, repeats included once. Very long sentences come in pieces.
 
     Identifiers, paths and issue numbers become one sign, numbers another: they say nothing about tone. Letters spaced
     out are joined, digits inside words read as letters, masks dropped. What remains of spelling tricks is for the kernel's gaps.
@@ -55,7 +69,7 @@ def sentences(text: str) -> list[str]:
         s = _NUMBER.sub("9", s).replace("¤", " 8 ")
         s = _BLANKS.sub(" ", _OTHER.sub(" ", s)).strip()
         if s:
-            out.append(s[: 1_000_000])
+            out += pieces(s)
     return list(dict.fromkeys(out))
 
 

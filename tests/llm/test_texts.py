@@ -143,3 +143,19 @@ def test_abuse_held_out(spark):
     assert {r["source"] for r in abuse.rates(abuse.scored(t, model)).collect()} == {"a_b", "unknown", "c"}
     nothing = abuse.fit(d, spark.createDataFrame([], "doc_id long, abusive int"))
     assert abuse.scored(t, nothing).where("abusive").count() == 0 and abuse.scored(t.limit(0), nothing).count() == 0
+
+
+def test_all_of_a_long_sentence_is_scored():
+    filler = " ".join(f"plain{VOCABULARY[k % 97]}" for k in range(120_000))
+    assert len(filler) > 1_050_000
+    read = abuse.sentences(filler + " zz bad end of it")
+    assert any(s.endswith("zz bad end of it") for s in read) and max(map(len, read)) <= abuse.LONGEST
+    rnd = random.Random(3)
+    for text in (" ".join(prose(3_000, 5)), "".join(rnd.choice("abcdefg") for _ in range(9_000)), "a" * abuse.LONGEST, "word"):
+        parts, at = abuse.pieces(text), 0
+        assert max(map(len, parts)) <= abuse.LONGEST and (len(parts) == 1) == (len(text) <= abuse.LONGEST)
+        for p in parts:  # each piece begins inside the one before, or at its end
+            begin = text.index(p, max(0, at - 2 * abuse.OVERLAP))
+            assert begin <= max(0, at - abuse.OVERLAP)
+            at = begin + len(p)
+        assert at == len(text)
