@@ -208,7 +208,7 @@ def surprising_pairs(m: DataFrame, min_pair: int = 2, scratch: Scratch | None =
     It is fitted over histograms: two items of equal degree have equal chances, so its input and the
     number of different tails depend on the number of distinct degrees, not of rows. p_value: Poisson-binomial
     tail P(X >= n_ab). q_value: Benjamini-Hochberg over all pairs of the scope's items, those that share no basket
-    included. Nulls link nothing, repeated rows count once, an empty table gives an empty result.
+    included; with min_pair above 1 the pairs left out take no rank, so it is then an upper bound. Nulls link nothing, repeated rows count once, an empty table gives an empty result.
     """
     scratch = scratch or Scratch(m.sparkSession)
     m = scratch.keep(m.select("scope", "basket", "item"))

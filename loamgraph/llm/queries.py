@@ -27,7 +27,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.surprising_pairs(_changes(spark, d), min_pair=2)
+    return cooccurrence.surprising_pairs(_changes(spark, d), min_pair=1)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamgraph.llm import cooccurrence as co
+from loamgraph.llm import queries
 from loamgraph.llm.lexers import fault
 from loamgraph.llm.source_validity import fault_rates, file_faults
 
@@ -121,3 +122,21 @@ def test_surprise(spark):
     ps = sorted((r["p_value"], r["q_value"]) for r in got.values())
     assert all(q >= p for p, q in ps) and [q for _, q in ps] == sorted(q for _, q in ps)
     assert co.surprising_pairs(m.limit(0)).count() == 0
+
+
+def test_surprise_of_every_pair(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(f"c{i}", f"r/f{rnd.randrange(12)}") for i in range(60) for _ in range(3)] + [(f"o{i}", f"r/{x}{i}") for i in range(40) for x in "ab"] + [(f"c{i}", "r/f0") for i in range(30)]
+    spark.createDataFrame([("MODIFIES", a, b) for a, b in rows], "kind string, src string, dst string").write.parquet(str(tmp_path / "edges.parquet"))
+    got = {(r["item_a"], r["item_b"]): r for r in queries.p2_surprise(spark, str(tmp_path)).collect()}
+    baskets = {}
+    for c, f in rows:
+        baskets.setdefault(c, set()).add(f)
+    want = Counter(p for fs in baskets.values() for p in itertools.combinations(sorted(fs), 2))
+    assert {k: r["n_ab"] for k, r in got.items()} == want and 1 in want.values()
+    n = len({f for _, f in rows})
+    ordered = sorted(r["p_value"] for r in got.values())
+    least, q = 1.0, {}
+    for p in sorted(set(ordered), reverse=True):
+        least = q[p] = min(least, p * n * (n - 1) / 2 / sum(x <= p for x in ordered))
+    assert all(math.isclose(r["q_value"], q[r["p_value"]], rel_tol=1e-9) for r in got.values())
