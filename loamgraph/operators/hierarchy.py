@@ -206,11 +206,54 @@ def hierarchy(edges: DataFrame, nodes: DataFrame | None = None, kind: str = "CON
 
 
 def ancestor_pairs(placed: DataFrame) -> DataFrame:
-    """ancestor_id, descendant_id, distance for every placed node and each node above it."""
+    """ancestor_id, descendant_id, distance for every placed node and each node above it. For nodes on and below loops see `pairs_at_loops`."""
     p = placed.where(F.col("id_path").isNotNull()).select(F.col("node_id").alias("descendant_id"), "depth", F.posexplode("id_path").alias("pos", "ancestor_id"))
     return p.where(F.col("pos") < F.col("depth")).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def _in_turn(group: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one loop with their places, from the least id on downwards. Every node has one parent, so a loop is a ring."""
+    below = dict(zip(group["parent"], group["child"]))
+    ring = [min(below)]
+    while below[ring[-1]] != ring[0]:
+        ring.append(below[ring[-1]])
+    return pd.DataFrame({"top": ring, "loop_id": ring[0], "place": range(len(ring)), "size": len(ring)})
+
+
+def pairs_at_loops(placed: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """ancestor_id, descendant_id, distance for the nodes of `hierarchy` that no root reaches, over each child's newest parent.
+
+    Frontiers start from every node of a loop over the links outside loops. A node has the nodes on the way up to its loop above it and
+    all of the loop; a node of a loop has the others of it above it, at the distance of the way down, and never itself.
+    Together with `ancestor_pairs` these are all pairs, each once.
+    """
+    scratch = scratch or Scratch(placed.sparkSession)
+    lost = placed.where((F.col("state") == "in_loop_or_below") & F.col("parent_id").isNotNull())
+    links = scratch.keep(lost.select(F.col("parent_id").alias("parent"), F.col("node_id").alias("child")))
+    ids = scratch.keep(loops(links, scratch))
+    in_loop = ids.select(F.col("node_id").alias("child"), "loop_id")
+    # one parent a child: the link to a node of a loop comes from that loop
+    rings = links.join(in_loop, "child").groupBy("loop_id").applyInPandas(_in_turn, "top string, loop_id string, place long, size long")
+    rings = scratch.keep(rings)
+    outside = scratch.keep(links.join(in_loop, "child", "left_anti").select("parent", "child"))
+    level = scratch.keep(rings.select(F.col("top").alias("node_id"), "top", F.lit(0).alias("depth"), F.array("top").alias("id_path")))
+    below = level
+    while level.limit(1).count():
+        up = level.withColumnRenamed("node_id", "parent")
+        level = scratch.keep(
+            outside.join(up, "parent").select(F.col("child").alias("node_id"), "top", (F.col("depth") + 1).alias("depth"), F.concat("id_path", F.array("child")).alias("id_path"))
+        )
+        below = below.unionByName(level)
+    others = rings.select("loop_id", F.col("top").alias("ancestor_id"), F.col("place").alias("above"))
+    around = (
+        below.join(rings, "top")
+        .join(others, "loop_id")
+        .where(F.col("above") != F.col("place"))
+        .select("ancestor_id", F.col("node_id").alias("descendant_id"), (F.pmod(F.col("place") - F.col("above"), F.col("size")) + F.col("depth")).cast("int").alias("distance"))
+    )
+    return ancestor_pairs(below).unionByName(around)
+
+
 def descendant_counts(placed: DataFrame) -> DataFrame:
     """node_id, n_descendants, height: aggregated on the map side, so a root of all rows is no hot spot."""
     pairs = ancestor_pairs(placed)

@@ -21,8 +21,10 @@ def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
-    h = Scratch(spark).keep(hierarchy.hierarchy(table(spark, d, "edges"), _all_nodes(spark, d)))
-    return hierarchy.ancestor_pairs(h).select("ancestor_id", "descendant_id", F.col("distance").cast("long").alias("distance"))
+    scratch = Scratch(spark)
+    h = scratch.keep(hierarchy.hierarchy(table(spark, d, "edges"), _all_nodes(spark, d)))
+    pairs = hierarchy.ancestor_pairs(h).unionByName(hierarchy.pairs_at_loops(h, scratch))
+    return pairs.select("ancestor_id", "descendant_id", F.col("distance").cast("long").alias("distance"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.operators import attribute_history as ah
 from loamgraph.operators import heavy_keys, hierarchy, orphans
+from loamgraph.plans.core_problems import p3_descendants
 from loamgraph.schema import EDGES_DDL, NODES_DDL
 
 
@@ -85,6 +86,26 @@ def test_hierarchy(spark):
     assert {(r[0], r[1], r[2]) for r in hierarchy.descendant_counts(df).collect()} == {("root", 4, 2), ("a", 2, 1)}
 
 
+def test_descendants_at_loops(spark, tmp_path):
+    rnd = random.Random(5)
+    parent = {f"n{i:02d}": f"n{rnd.randrange(40):02d}" for i in range(40) if i % 9}
+    parent |= {"x": "y", "y": "w", "w": "x", "own": "own", "z": "y", "zz": "z", "leaf": "own", "c": "root"}
+    at = "2024-01-01T00:00:00Z"
+    edge_rows(spark, [("CONTAINS", p, c, at) for c, p in parent.items()]).write.parquet(str(tmp_path / "edges.parquet"))
+    for name in ("nodes", "platform_nodes"):
+        spark.createDataFrame([], NODES_DDL).write.parquet(str(tmp_path / f"{name}.parquet"))
+    want = set()
+    for c in parent:
+        seen, v, n = {c}, c, 0
+        while parent.get(v, c) not in seen:
+            v, n = parent[v], n + 1
+            seen.add(v)
+            want.add((v, c, n))
+    got = [tuple(r) for r in p3_descendants(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {("y", "z", 1), ("y", "zz", 2), ("own", "leaf", 1)} <= want
+
+
 def test_hierarchy_of_nothing(spark):
     assert hierarchy.hierarchy(spark.createDataFrame([], EDGES_DDL)).count() == 0
 
