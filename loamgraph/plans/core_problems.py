@@ -8,7 +8,8 @@ from loamgraph.sources.tables import Scratch, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.loops(hierarchy.distinct_links(table(spark, d, "edges")))
+    """The nodes on loops, from what the hierarchy's frontiers from the roots never reach."""
+    return hierarchy.placed_and_looped(table(spark, d, "edges"), None, "CONTAINS", Scratch(spark))[3]
 
 
 def _all_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +18,8 @@ def _all_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     h = hierarchy.hierarchy(table(spark, d, "edges"), _all_nodes(spark, d))
-    return h.select("node_id", "parent_id", "root_id", F.col("depth").cast("long").alias("depth"), F.array_join("full_path", " > ").alias("full_path"), "state")
+    others = F.coalesce(F.array_join("other_parents", " | "), F.lit("")).alias("other_parents")
+    return h.select("node_id", "parent_id", others, "root_id", F.col("depth").cast("long").alias("depth"), F.array_join("full_path", " > ").alias("full_path"), "state", "loop_id")
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
