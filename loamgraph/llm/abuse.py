@@ -33,13 +33,20 @@ LONGEST, OVERLAP = 2_000, 300
 
 _CUT = re.compile(r"(?<=[.!?…。！？])[\"')\]]*\s+|[\r\n]+|\s[|]\s|;\s+")
 _LEAD = re.compile(r"^\s*(?:[-*>#|+•]+\s*|//+\s*|\[\d{1,2}:\d{2}(?::\d{2})?\]\s*|\d+[.)]\s+)*(?:[a-z]+\([^()\s]{1,40}\):\s*|[a-z]+-?\d*:\s+)?")
-_NAME = re.compile(r"\b(?=\w*[a-z])(?=\w*[A-Z])[A-Za-z]+[A-Z]\w*(?:\(\))?|\b[A-Za-z]\w*\(\)|(?<![\w<])[/.]?\w+(?:[/\\]\w[\w.]*)+|#\d+|`[^`\n]{1,80}`")
+_NAME = re.compile(r"\b(?=[A-Za-z][a-z]*+[A-Z])(?=\w*?[a-z])\w++(?:\(\))?|\b[A-Za-z]\w*+\(\)|(?<![\w<])[/.]?\w++(?:[/\\]\w[\w.]*+)+|#\d++|`[^`\n]+`")
+_MAY_NAME = re.compile(r"[#`/\\]|\(\)|[A-Za-z][A-Z]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_-]){2,}[^\W\d_](?![^\W_])")
 _NUMBER = re.compile(r"\d+")
-_LEET_WORD = re.compile(r"(?=[^\s]*[a-z])[a-z0134579@$!*]*[0134579@$!*][a-z0134579@$!*]*[a-z][a-z0134579@$!*]*|[0134579@$]+[a-z][a-z0134579@$*]*")
+# a run of letters and the signs that stand for some, tried once per run, so that one endless run costs no more than its length
+_LEET_RUN = re.compile(r"(?<![a-z0134579@$!*])[a-z]*+[0134579@$!*][a-z0134579@$!*]*+")
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""})
-_OTHER = re.compile(r"[^\w' ]+|_")
-_BLANKS = re.compile(r"\s+")
+_OTHER = re.compile(r"[^\w' ]+|_+")
+
+
+def _read_signs(m: re.Match) -> str:
+    """The letters that a run's signs stand for, if a letter comes after one of them; else the run as it is."""
+    upto = m[0].rstrip("0134579@$!*")
+    return m[0].rstrip("!").translate(_LEET) if upto and not upto.isalpha() else m[0]
 
 
 def pieces(sentence: str) -> list[str]:
@@ -54,23 +61,33 @@ def pieces(sentence: str) -> list[str]:
     return [*out, sentence[at:].strip()]
 
 
-def sentences(text: str) -> list[str]:
+def _read(part: str) -> list[str]:
+    """One raw sentence in the form the kernel reads."""
+    s = plain(_NAME.sub(" ¤ ", part) if _MAY_NAME.search(part) else part)
+    s = _LEAD.sub("", s)
+    s = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), s)
+    s = _LEET_RUN.sub(_read_signs, s)
+    s = _NUMBER.sub("9", s).replace("¤", " 8 ")
+    s = " ".join(_OTHER.sub(" ", s).split())
+    return pieces(s) if s else []
+
+
+def sentences(text: str, known: dict[str, list[str]] | None = None) -> list[str]:
     """A text's sentences in the form the kernel reads; whole texts, repeats included once. Very long sentences come in pieces.
 
     Identifiers, paths and issue numbers become one sign, numbers another: they say nothing about tone. Letters spaced
     out are joined, digits inside words read as letters, masks dropped. What remains of spelling tricks is for the kernel's gaps.
+    known: raw sentences read before, which texts with common lines share.
     """
-    out = []
+    known = {} if known is None else known
+    out = {}
     for part in _CUT.split(text.replace("\xa0", " ")):
-        s = plain(_NAME.sub(" ¤ ", part))
-        s = _LEAD.sub("", s)
-        s = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), s)
-        s = _LEET_WORD.sub(lambda m: m[0].rstrip("!").translate(_LEET), s)
-        s = _NUMBER.sub("9", s).replace("¤", " 8 ")
-        s = _BLANKS.sub(" ", _OTHER.sub(" ", s)).strip()
-        if s:
-            out += pieces(s)
-    return list(dict.fromkeys(out))
+        got = known.get(part)
+        if got is None:
+            got = known[part] = _read(part)
+        for s in got:
+            out[s] = None
+    return list(out)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,63 +99,65 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     joined = "".join(f"  {t} " + " " * STRETCH for t in texts)
     lengths = np.array([len(t) + 3 + STRETCH for t in texts])
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
     n = len(codes) - STRETCH
     if n <= 0:
         return np.empty(0, int), np.empty(0, np.int64), np.empty(0)
-    own = owner[:n]
-    blank = np.uint64(32)
-    alive = codes[:n] != blank
-    keys, weights, owners = [], [], []
+    own = owner[:n] << (BITS + 3)
+    blank = codes == np.uint64(32)
+    alive = ~blank[:n]
+    sums: dict[tuple, np.ndarray] = {}  # hashes of the letters so far, shared by all runs that begin alike
+    found = []
     with np.errstate(over="ignore"):
+        sums[()] = codes[:n] * np.uint64(0x9E3779B97F4A7C15)
         for length, widest in LENGTHS:
             for rest in itertools.combinations(range(1, widest), length - 1):
-                h = codes[:n] * np.uint64(0x9E3779B97F4A7C15)
-                ok = alive & (owner[rest[-1] : rest[-1] + n] == own)
-                for o in rest:
-                    c = codes[o : o + n]
-                    h = (h ^ c) * np.uint64(0xBF58476D1CE4E5B9)
-                    h ^= h >> np.uint64(31)
+                for k in range(1, length):
+                    if rest[:k] not in sums:
+                        h = (sums[rest[: k - 1]] ^ codes[rest[k - 1] : rest[k - 1] + n]) * np.uint64(0xBF58476D1CE4E5B9)
+                        sums[rest[:k]] = h ^ (h >> np.uint64(31))
+                last = rest[-1]
+                ok = alive & (owner[last : last + n] == owner[:n])
                 # the last letter is no blank unless letters adjoin: word ends count, empty stretches do not
-                if rest[-1] != length - 1:
-                    ok = ok & (codes[rest[-1] : rest[-1] + n] != blank)
-                keys.append(((h >> np.uint64(64 - BITS)).astype(np.int64))[ok])
-                owners.append(own[ok])
-                weights.append(np.full(int(ok.sum()), DECAY ** (rest[-1] + 1 - length)))
-    for k, o, wt in _word_features(texts):
-        keys.append(k)
-        owners.append(o)
-        weights.append(wt)
-    flat = np.concatenate(owners).astype(np.int64) << BITS | np.concatenate(keys)
-    w = np.concatenate(weights)
-    order = np.argsort(flat, kind="stable")
-    flat, w = flat[order], w[order]
+                if last != length - 1:
+                    ok &= ~blank[last : last + n]
+                key = (sums[rest] >> np.uint64(64 - BITS)).astype(np.int64) << 3 | (last + 1 - length)
+                found.append((own | key)[ok])
+    found += [o << (BITS + 3) | k << 3 | c for k, o, c in _word_features(texts)]
+    # sentence, feature and class of weight in one number: a plain sort brings equal features together
+    flat = np.sort(np.concatenate(found))
     if not len(flat):
         return np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+    w = _WEIGHTS[flat & 7]
+    flat >>= 3
     first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     w = np.add.reduceat(w, first)
     flat = flat[first]
-    return (flat >> BITS).astype(int), flat & ((1 << BITS) - 1), w
+    return flat >> BITS, flat & ((1 << BITS) - 1), w
+
+
+#: Weights by class: letters by how far they are spread, words, pairs of words by their distance.
+_WEIGHTS = np.array([1.0, DECAY, DECAY**2, DECAY**3, WORD, PAIR, PAIR * DECAY, 0.0])
 
 
 def _word_features(texts: list[str]):
-    """The same kernel with words for letters: single words, and pairs with at most one word between."""
+    """The same kernel with words for letters: single words, and pairs with at most one word between. feature, sentence, class of weight."""
     split = [t.split(" ") for t in texts]
     ids: dict[str, int] = {}
     flat = np.array([ids.setdefault(w, len(ids)) for ws in split for w in ws], np.int64)
     if not len(flat):
         return
     hashed = np.array([xxhash.xxh64_intdigest(w) for w in ids], np.uint64)[flat]
-    owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(ws) for ws in split])
     top = np.uint64(64 - BITS)
-    yield (hashed >> top).astype(np.int64), owner, np.full(len(flat), WORD)
+    yield (hashed >> top).astype(np.int64), owner, 4
     with np.errstate(over="ignore"):
         for gap in (1, 2):
             if len(flat) > gap:
                 same = owner[gap:] == owner[:-gap]
                 h = (hashed[:-gap] * np.uint64(0x9E3779B97F4A7C15)) ^ hashed[gap:]
                 h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                yield (h >> top).astype(np.int64)[same], owner[gap:][same], np.full(int(same.sum()), PAIR * DECAY ** (gap - 1))
+                yield (h >> top).astype(np.int64)[same], owner[gap:][same], 4 + gap
 
 
 class Model:
@@ -331,14 +350,16 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         known: dict[str, float] = {}
+        parts: dict[str, list[str]] = {}
         for b in batches:
-            split = [sentences(t) if isinstance(t, str) else [] for t in b["doc_text"]]
-            if len(known) > 500_000:
+            if len(known) + len(parts) > 500_000:
                 known.clear()
+                parts.clear()
+            split = [sentences(t, parts) if isinstance(t, str) else [] for t in b["doc_text"]]
             new = sorted({s for ss in split for s in ss if s not in known}, key=len)
             size, part = 0, []
             for s in [*new, None]:
-                if s is None or size + len(s) > 60_000:
+                if s is None or size + len(s) > 20_000:
                     if part:
                         known.update(zip(part, model.scores(part).tolist()))
                     size, part = 0, []

@@ -13,18 +13,31 @@ LOOKALIKES = {
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _LOOK = str.maketrans(LOOKALIKES)
 _LEET = str.maketrans(LEET)
-_TAG = re.compile(r"<(?:/?[A-Za-z][^<>]{0,200}|!--.{0,400}?--)>", re.S)
+#: A tag is `<` and a letter up to the next `>`: of at most 200 characters, or of any length if it holds nothing but a name and attributes.
+_TAG = re.compile(r"</?[A-Za-z](?:[^<>]{0,200}|[\w:.-]*+(?:\s++[A-Za-z_:@][\w:.@-]*+(?:\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++))?+)*+\s*+/?)>")
 _WORD = re.compile(r"[^\W_]+")
 _CYRILLIC_OR_GREEK = re.compile("[Ͱ-ϿЀ-ԯı]")
 _HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿̀-ͯ]")
 
 
+def without_comments(text: str) -> str:
+    """Markup comments of any length gone; one that is never closed stays."""
+    out, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0:
+        end = text.find("-->", begin + 4)
+        if end < 0:
+            break
+        out += [text[at:begin], " "]
+        at = end + 3
+    return "".join([*out, text[at:]])
+
+
 def plain(text: str) -> str:
     """Lower case; markup, hidden and combining characters gone; look-alike letters as Latin ones in words that mix scripts."""
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", without_comments(text))
     if text.isascii():
         return text.lower()
     text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text).casefold())
