@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.sources.tables import Scratch
+from loamgraph.sources.tables import Scratch, tasks
 
 #: Baskets of more items are counted in another way, so that no basket emits all its pairs in one task.
 LARGE_BASKET = 2_000
@@ -76,6 +76,23 @@ def pair_counts(m: DataFrame, min_pair: int, scratch: Scratch, large: int = LARG
     return looked.unionByName(added).where(F.col("n_ab") >= min_pair)
 
 
+#: Distinct degrees or sizes of a scope that are fitted one by one; above, values within CLASS_WIDTH of one another are fitted as one class of their mean.
+EXACT_CLASSES, CLASS_WIDTH = 400, 0.01
+
+
+def classes_of(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and counts as they are, or, where there are many, in classes of log-spaced bounds: the fit's memory then no longer grows with the data.
+
+    A class stands for values within CLASS_WIDTH of one another, and chances are about in proportion to values, so a chance is off by less than CLASS_WIDTH of itself.
+    """
+    if len(values) <= EXACT_CLASSES:
+        return values.astype(float), counts.astype(float)
+    at = np.where(values <= 1 / CLASS_WIDTH, values, 1 / CLASS_WIDTH + np.floor(np.log(np.maximum(values * CLASS_WIDTH, 1)) / math.log1p(CLASS_WIDTH))).astype(np.int64)
+    _, at = np.unique(at, return_inverse=True)
+    n = np.bincount(at, counts)
+    return np.bincount(at, values * counts) / n, n
+
+
 def fit_null(item_degrees: np.ndarray, item_counts: np.ndarray, sizes: np.ndarray, size_counts: np.ndarray, rounds: int = 500, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """The bipartite configuration model: x per item degree and y per basket size with P(item in basket) = xy/(1+xy).
 
@@ -177,10 +194,18 @@ def log_factorials(top: int) -> np.ndarray:
 
 
 def _fit_of_scope(h: pd.DataFrame) -> pd.DataFrame:
-    """One histogram row per class in; the scope's fitted values as arrays out."""
+    """One histogram row per class in; the scope's fitted values as arrays out: x of every degree, y and number of every class of sizes."""
     it, ba = h[h["side"] == "item"].sort_values("v"), h[h["side"] == "basket"].sort_values("v")
-    x, y = fit_null(it["v"].to_numpy(), it["c"].to_numpy(), ba["v"].to_numpy(), ba["c"].to_numpy())
-    return pd.DataFrame([(h["scope"].iat[0], it["v"].tolist(), x.tolist(), y.tolist(), ba["c"].tolist())], columns=["scope", "degrees", "x", "y", "counts"])
+    degrees = it["v"].to_numpy()
+    d, dc = classes_of(degrees, it["c"].to_numpy())
+    s, sc = classes_of(ba["v"].to_numpy(), ba["c"].to_numpy())
+    x, y = fit_null(d, dc, s, sc)
+    if len(d) != len(degrees):
+        # every degree's own x, for the classes' y
+        x = np.interp(degrees, d, x / d) * degrees
+        for _ in range(20):
+            x = degrees / np.concatenate([(sc * y / (1 + np.outer(part, y))).sum(1) for part in np.array_split(x, 1 + len(x) // 1000)])
+    return pd.DataFrame([(h["scope"].iat[0], degrees.tolist(), x.tolist(), y.tolist(), np.round(sc).astype(np.int64).tolist())], columns=["scope", "degrees", "x", "y", "counts"])
 
 
 def _tails_of_part(kinds: pd.DataFrame) -> pd.DataFrame:
@@ -233,10 +258,12 @@ def surprising_pairs(m: DataFrame, min_pair: int = 2, scratch: Scratch | None =
     kinds = scratch.keep(kinds)
     parts = kinds.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / TAILS).alias("parts"))
     kinds = scratch.keep(kinds.join(parts, "scope").withColumn("part", F.pmod(F.xxhash64("n_a", "n_b", "n_ab"), F.col("parts")).cast("int")).drop("parts"))
-    fits = hist.groupBy("scope").applyInPandas(_fit_of_scope, "scope string, degrees array<long>, x array<double>, y array<double>, counts array<long>")
+    # the optimiser would join these small groups to one task
+    parallel = tasks(m.sparkSession)
+    fits = hist.repartition(parallel, "scope").groupBy("scope").applyInPandas(_fit_of_scope, "scope string, degrees array<long>, x array<double>, y array<double>, counts array<long>")
     fits = scratch.keep(fits)
     placed = scratch.keep(kinds.select("scope", "part").distinct().join(fits, "scope"))
-    tails = kinds.groupBy("scope", "part").cogroup(placed.groupBy("scope", "part"))
+    tails = kinds.repartition(parallel, "scope", "part").groupBy("scope", "part").cogroup(placed.repartition(parallel, "scope", "part").groupBy("scope", "part"))
     chances = scratch.keep(
         tails.applyInPandas(
             lambda k, f: _tails_of_part(k.assign(**{c: [f[c].iat[0]] * len(k) for c in ("degrees", "x", "y", "counts")})),

@@ -1,5 +1,6 @@
 """Evaluation texts inside training texts."""
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -77,9 +78,42 @@ def item_signatures(tokens: list[str], cache: dict[str, int]) -> np.ndarray:
     return _keys(np.array(rows)) if rows else np.empty((0, PERMUTATIONS), np.uint64)
 
 
-def window_signatures(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each window of a text, and the windows' sizes: two adjoining blocks of 16 shingles, so any passage is inside one."""
+def fewest_shingles(items: list[list[str]]) -> int:
+    """The least number of an item's shingles that a verified passage holds, over the given items: they must cover COVERED of its words."""
+    return min((max(1, math.ceil(COVERED * min(PASSAGE, len(w)) / SHINGLE)) for w in items if len(w) >= SHINGLE), default=1)
+
+
+def window_signatures(ids: np.ndarray, of_items: np.ndarray | None = None, fewest: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each window of a text, and the windows' sizes: two adjoining blocks of 16 shingles, so any passage is inside one.
+
+    of_items: the items' shingles, sorted. A stretch of three blocks with fewer than `fewest` of them can hold no passage that verifies, so its windows are left out.
+    """
     h = shingles(ids)
+    if of_items is None or not len(h):
+        return _windows_of(h)
+    if not len(of_items):
+        return _windows_of(h[:0])
+    at = np.searchsorted(of_items, h)
+    at[at == len(of_items)] = 0
+    hit = of_items[at] == h
+    if not hit.any():
+        return _windows_of(h[:0])
+    per = np.add.reduceat(hit, np.arange(0, len(h), PASSAGE), dtype=np.int64)
+    around = per.copy()
+    around[1:] += per[:-1]
+    around[:-1] += per[1:]
+    full = around >= fewest
+    near = full.copy()
+    near[1:] |= full[:-1]
+    near[:-1] |= full[1:]
+    if near.all():
+        return _windows_of(h)
+    runs = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]]))).reshape(-1, 2)
+    parts = [_windows_of(h[a * PASSAGE : b * PASSAGE]) for a, b in runs] or [_windows_of(h[:0])]
+    return np.concatenate([k for k, _ in parts]), np.concatenate([s for _, s in parts])
+
+
+def _windows_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return np.empty((0, PERMUTATIONS), np.uint64), np.empty(0, int)
     starts = np.arange(0, len(h), PASSAGE)
@@ -202,10 +236,11 @@ def _by_broadcast(docs: DataFrame, its: DataFrame) -> DataFrame:
     # every value once, with the passages that have it
     values, first = np.unique(flat[order], return_index=True)
     ends = np.append(first[1:], len(flat))
-    shared = docs.sparkSession.sparkContext.broadcast((names, tokens, np.array(owners, int), values, first, ends, passage[order]))
+    theirs = np.unique(np.concatenate([shingles(_word_ids(w, cache)) for w in tokens])) if tokens else np.empty(0, np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast((names, tokens, np.array(owners, int), values, first, ends, passage[order], theirs, fewest_shingles(tokens)))
 
     def search(batches):
-        names, tokens, owners, values, first, ends, passages = shared.value
+        names, tokens, owners, values, first, ends, passages, theirs, fewest = shared.value
         cache: dict[str, int] = {}
         placed: dict[int, dict] = {}
         for b in batches:
@@ -214,8 +249,8 @@ def _by_broadcast(docs: DataFrame, its: DataFrame) -> DataFrame:
                 w = words(text)
                 if len(cache) > 2_000_000:
                     cache.clear()
-                sig, sizes = window_signatures(_word_ids(w, cache))
-                if not len(sig) or not len(values):
+                sig, sizes = window_signatures(_word_ids(w, cache), theirs, fewest)
+                if not len(sig):
                     continue
                 flat = sig.ravel()
                 at = np.searchsorted(values, flat)
@@ -247,6 +282,8 @@ def _by_join(docs: DataFrame, its: DataFrame) -> DataFrame:
             cache: dict[str, int] = {}
             for b in batches:
                 out = []
+                if len(cache) > 2_000_000:
+                    cache.clear()
                 for i, text in zip(b[id_col], b[text_col]):
                     w = words(text)
                     if windows:

@@ -11,7 +11,7 @@
 3. The outermost level, and class bodies, must be made of the declarations that the language has there.
    That tells texts of other languages, prose and markup.
 
-Python's own parser has the last word on Python texts that pass the lexer.
+What the lexer finds wrong in a Python text is wrong; texts that pass it are then confirmed by Python's own parser.
 """
 
 import re
@@ -76,8 +76,7 @@ def walk(items: list[tuple], language: str, around: str) -> None:
                     raise Bad("unexpected_token")
             if t in _STRICT:
                 if after is None or (after[0] == "o" and after[1] in (";", ",")):
-                    if not (t == "." and False):
-                        raise Bad("unexpected_token" if after is not None else "premature_end")
+                    raise Bad("unexpected_token" if after is not None else "premature_end")
                 if after[0] == "o" and after[1] in _STRICT and after[1] not in prefix:
                     raise Bad("unexpected_token")
                 if t in (".", "?.") and not (after[0] == "w" or (after[0] == "o" and after[1] in ("*", "<", "@", "::", ":")) or after[0] in "([{" or (after[0] == "n" and language == "rust")):
@@ -105,8 +104,6 @@ def walk(items: list[tuple], language: str, around: str) -> None:
                         raise Bad("unexpected_token")
                     if after is not None and not (after[0] == "o" and after[1] in ("=", ";", ",", ":", "->", "&&", "||", "...") or after[0] in "([{"):
                         raise Bad("unexpected_token")
-                    if fresh and last[2] is False:
-                        pass
                 elif language == "go":
                     before = items[i - 2] if i >= 2 else None
                     if before is not None and _operand(before, language) and not last[2]:
@@ -456,14 +453,43 @@ def _ecma_class(items: list[tuple], language: str) -> None:
 # ---------------------------------------------------------------- Python
 
 
+_PY = re.compile(
+    r"(?P<blank>[ \t\f]+)|(?P<end>\r\n|\r|\n)|(?P<rest>#[^\r\n]*+)|(?P<join>\\(?:\r\n|\r|\n))|(?P<text>(?i:[rbuft]{0,2})(?:\'\'\'|\"\"\"|\'|\"))|(?P<word>\w+)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<other>[\s\S])"
+)
+_INDENT = re.compile(r"[ \t\f]*+")
+_PY_PLAIN = {q: re.compile(rf"(?:[^{q[0]}\\" + ("" if len(q) == 3 else r"\r\n") + r"]|\\(?:\r\n|[\s\S])" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + rf")*+{q}") for q in ("'", '"', "'''", '"""')}
+_PY_FIELDS = {q: re.compile(rf"(?:[^{q[0]}\\{{}}" + ("" if len(q) == 3 else r"\r\n") + r"]|\{\{|\}\}|\\(?:N\{[A-Za-z0-9 -]+\}|\r\n|(?![{}])[\s\S]|(?=[{}]))" + (rf"|{q[0]}(?!{q[0] * 2})" if len(q) == 3 else "") + r")*+") for q in ("'", '"', "'''", '"""')}
+_PY_SPEC = re.compile(r"[^{}]*+")
+
+
 def _python(text: str) -> None:
-    """Brackets, literals and indentation on one stack; then the parser of the language itself."""
+    """Brackets, literals, the fields of string templates and indentation, all on one stack."""
     text = text.removeprefix("﻿")
     i, n, stack, depths, start = 0, len(text), [], [0], True
-    literal = re.compile(r"(?i:[rbuft]{0,2})('''|\"\"\"|'|\")")
+
+    def fields(i: int, quote: str) -> int:
+        """On from inside a template: behind its end, or behind the brace that opens a field."""
+        i = _PY_FIELDS[quote].match(text, i).end()
+        if text.startswith(quote, i):
+            return i + len(quote)
+        if text.startswith("{", i):
+            stack.append("f" + quote)
+            return i + 1
+        raise Bad("unexpected_token" if text.startswith("}", i) else "unterminated_literal")
+
+    def spec(i: int) -> int:
+        """On in the format of a field: behind the brace that opens a field in it, or to the one that ends it."""
+        i = _PY_SPEC.match(text, i).end()
+        if text.startswith("{", i):
+            stack.append("s")
+            return i + 1
+        if i >= n:
+            raise Bad("unterminated_literal")
+        return i
+
     while i < n:
         if start and not stack:
-            m = re.compile(r"[ \t\f]*").match(text, i)
+            m = _INDENT.match(text, i)
             rest = text[m.end() : m.end() + 1]
             if MARK.match(text, i):
                 raise Bad("conflict_marker")
@@ -476,31 +502,35 @@ def _python(text: str) -> None:
                 if width != depths[-1]:
                     raise Bad("unexpected_indent")
             i, start = m.end(), False
-            continue
-        c = text[i]
-        if c in "\r\n":
+            if i >= n:
+                break
+        m = _PY.match(text, i)
+        kind, i = m.lastgroup, m.end()
+        if kind == "end":
             start = True
-            i += 1
-        elif c == "#":
-            i = re.compile(r"[^\r\n]*").match(text, i).end()
-        elif c == "\\":
-            i += 3 if text.startswith("\\\r\n", i) else 2
-        elif m := literal.match(text, i):
-            quote, raw = m[1], "r" in m[0].lower()
-            j = m.end()
-            while not text.startswith(quote, j):
-                if j >= n or (len(quote) == 1 and text[j] in "\r\n"):
+        elif kind == "text":
+            quote = m[0].lstrip("rRbBuUfFtT")
+            if "f" in m[0].lower() or "t" in m[0].lower():
+                i = fields(i, quote)
+            else:
+                m = _PY_PLAIN[quote].match(text, i)
+                if not m:
                     raise Bad("unterminated_literal")
-                j += 2 if text[j] == "\\" else 1
-            i = j + len(quote)
-        elif m := re.compile(r"\w+").match(text, i):
-            i = m.end()
-        else:
-            if c in "([{":
-                stack.append(c)
-            elif c in CLOSES and (not stack or stack.pop() != CLOSES[c]):
+                i = m.end()
+        elif kind == "open":
+            stack.append(m[0])
+        elif kind == "close":
+            if not stack:
                 raise Bad("unbalanced")
-            i += 1
+            opened = stack.pop()
+            if opened[0] == "f" and m[0] == "}":
+                i = fields(i, opened[1:])
+            elif opened == "s" and m[0] == "}":
+                i = spec(i)
+            elif opened != CLOSES[m[0]]:
+                raise Bad("unbalanced")
+        elif kind == "other" and m[0] == ":" and stack and stack[-1][0] in "fs":
+            i = spec(i)
     if stack:
         raise Bad("premature_end")
 
@@ -524,11 +554,7 @@ def fault(text: str | None, language: str) -> str | None:
         return None
     try:
         if language == "python":
-            try:
-                _python(text)
-            except Bad as bad:
-                # nested quotes of newer string templates may mislead the lexer; the parser decides
-                return None if _python_parses(text) else str(bad)
+            _python(text)
             return None if _python_parses(text) else "unexpected_token"
         text = text.removeprefix("﻿")
         items = tree(lex(text, language))
