@@ -27,8 +27,8 @@ _NUM = {
     for k in EXTENSIONS.values()
 }
 _SPACE = re.compile(r"[ \t\f\v ﻿  \r\n]+")
-#: Most tokens in one match: blanks, line comments, words that begin no literal, brackets and marks that are no part of a longer operator.
-_FAST = {k: re.compile(r"([ \t\f\r\n]+)|(//[^\r\n]*+)|(" + w.pattern + r")" + (r"(?![\w\"'#])" if k == "rust" else "") + r"|([(\[{;,])").match for k, w in _WORD.items()}
+#: Most tokens in one match: line ends, line comments, words that begin no literal, brackets and marks that are no part of a longer operator, each with the blanks before it.
+_FAST = {k: re.compile(r"[ \t\f]*+(?:([\r\n]\s*+)|(//[^\r\n]*+)|(" + w.pattern + r")" + (r"(?![\w\"'#])" if k == "rust" else "") + r"|([(\[{;,])|([)\]]))").match for k, w in _WORD.items()}
 _SHORT = r'"(?:[^"\\\r\n]|\\.)*"'
 _STRINGS = {
     "java": [(r'"""', r'"""[ \t\f]*[\r\n](?:[^\\"]|\\[\s\S]|"(?!""))*"""'), (r'"', r'"(?:[^"\\\r\n]|\\(?:[btnfrs"\'\\0-7]|u+[0-9a-fA-F]{4}))*"'), (r"'", r"'(?:[^'\\\r\n]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'")],
@@ -88,13 +88,24 @@ def lex(text: str, language: str, at: list[int] | None = None) -> list[tuple[str
             begin = i
         if m := fast(text, i):
             i, k = m.end(), m.lastindex
-            if k == 1:
-                fresh = fresh or "\n" in m[1] or "\r" in m[1]
-            elif k != 2:
-                if k == 4 and m[4] in "([{":
-                    stack.append(m[4])
-                out.append(("w" if k == 3 else "o", m[k], fresh))
-                fresh = False
+            if k == 3:
+                out.append(("w", m[3], fresh))
+            elif k == 1:
+                fresh = True
+                continue
+            elif k == 2:
+                continue
+            else:
+                t = m[k]
+                if k == 5:
+                    if not stack or stack.pop() != CLOSES[t]:
+                        raise Bad("unbalanced")
+                elif t in "([{":
+                    stack.append(t)
+                out.append(("o", t, fresh))
+            fresh = False
+            if at is not None:
+                begin = m.start(k)
             continue
         if m := _SPACE.match(text, i):
             fresh = fresh or "\n" in m[0] or "\r" in m[0]
