@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.identity import repository_of
@@ -41,14 +41,17 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 20 is a query against all vectors; itself comes first."""
+    """Every vector whose id is divisible by 20 is a query against all vectors; itself, or its copy with the smallest id, comes first."""
     scratch = Scratch(spark)
-    rows = neighbours.usable(table(spark, d, "embeddings"), "vec_id", "embedding", None, 64)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    units = scratch.keep(rows.withColumn("norm", norm).select(F.col("key").alias("nid"), "scope", F.transform("v", lambda x: x / F.col("norm")).cast("array<float>").alias("u")))
-    graph = neighbours.build(units, scratch)
-    hits = neighbours.search(graph, units.where(F.col("nid") % 20 == 0).withColumnRenamed("nid", "qid"), 10, scratch=scratch)
-    return hits.select(F.col("qid").alias("vec_id"), F.col("nid").alias("neighbour_id"), F.col("rank").cast("long").alias("rank"), F.round("cos", 6).alias("cosine"))
+    rows, classes, dtype = neighbours.folded(table(spark, d, "embeddings"), "vec_id", "embedding", None, 64, scratch)
+    graph = neighbours.build(classes.select("nid", "scope", F.element_at("members", 1)["raw"].alias("raw")), scratch, dtype)
+    queries = rows.where(F.col("key") % 20 == 0)
+    hits = neighbours.search(graph, queries.select(F.col("key").alias("qid"), "scope", "raw"), 10, scratch=scratch)
+    # a node stands for all copies of its vector
+    copies = hits.join(classes.select("nid", F.explode("members.key").alias("neighbour_id")), "nid")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cos"), "neighbour_id"))
+    best = copies.withColumn("rank", rank.cast("long")).where(F.col("rank") <= 10)
+    return best.select(F.col("qid").alias("vec_id"), "neighbour_id", "rank", F.round("cos", 6).alias("cosine"))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -105,4 +108,16 @@ with m as (select distinct src, dst, string_split(case when dst like 'branch:%'
 i as (select repo, dst, count(*) n from m group by all), r as (select repo, count(distinct src) n from m group by all),
 p as (select a.repo, a.dst x, b.dst y, count(*) n from m a join m b on a.src=b.src and a.repo=b.repo and a.dst<b.dst group by all having count(*) >= 5)
 select x as file_a, y as file_b from p join i a on a.repo=p.repo and a.dst=p.x join i b on b.repo=p.repo and b.dst=p.y join r on r.repo=p.repo where p.n*r.n >= 3*a.n*b.n""",
+    "p4_found": """
+with r as (select summary_id k, min(embedding) v, embedding_model m from summaries where summary_id is not null and len(embedding)=64
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x)))=0 and len(list_filter(embedding, lambda x: x<>0))>0 group by all),
+d as (select k, m, list_transform(v, lambda x: cast(x as double)) v from r),
+c as (select a.k x, b.k y, list_cosine_similarity(a.v, b.v) c from d a join d b on a.m is not distinct from b.m and a.k<>b.k),
+t as (select *, row_number() over (partition by x order by c desc, y) rn from c)
+select distinct least(x, y) as summary_a, greatest(x, y) as summary_b from t where rn<=5 and c>=0.9""",
+    "p4_nearest": """
+with d as (select vec_id k, list_transform(min(embedding), lambda x: cast(x as double)) v from embeddings where len(embedding)=64 group by 1),
+c as (select a.k x, b.k y, list_cosine_similarity(a.v, b.v) c from d a join d b on a.k<>b.k),
+t as (select *, row_number() over (partition by x order by c desc, y) rn from c)
+select x as vec_id, y as neighbour_id, round(c, 6) as cosine from t where rn<=5""",
 }

@@ -63,11 +63,51 @@ def test_a_third_are_copies(spark):
     assert {(r["a"], r["b"]) for r in pairs} == {("s00000", "s00001"), ("s00000", "s00002"), ("s00001", "s00002")}
 
 
-def test_greedy_search(spark):
+def test_a_third_are_rescaled_copies(spark, monkeypatch):
+    monkeypatch.setattr(nn, "HOT", 50)
+    one = clustered(12, 16, 2)[:1]
+    x = np.vstack([one * np.linspace(0.01, 9, 200)[:, None], clustered(400, 16, 3)]).astype(np.float32)
+    df = table(spark, x).withColumn("model", F.lit(None).cast("string"))
+    got = {}
+    for r in nn.nearest(df, "summary_id", "embedding", "model", 5, 16).collect():
+        got.setdefault(int(r["a"][1:]), []).append((int(r["b"][1:]), r["cos"]))
+    assert len(got) == 600 and all(len(v) == 5 for v in got.values())
+    for i in range(200):
+        assert all(b < 200 and b != i and c > 1 - 1e-9 for b, c in got[i])
+    rest = nearest_by_force(x, [0] * 600, 5)
+    assert np.mean([len({b for b, _ in got[i]} & set(rest[i])) / 5 for i in range(200, 600)]) >= 0.95
+
+
+def recall_of(links, x, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -3)
+    want = np.argsort(-c, axis=1)[:, :k]
+    got = {r["nid"]: r["nb"] for r in links.collect()}
+    return np.mean([len(set(got.get(i, [])[:k]) & set(w.tolist())) / k for i, w in enumerate(want)])
+
+
+def packed(spark, x):
+    return spark.createDataFrame([(i, "", row.astype(np.float32).tobytes()) for i, row in enumerate(x)], "nid long, scope string, raw binary")
+
+
+def test_descent_mends_a_poor_first_graph(spark, monkeypatch):
+    """Two trees with tiny leaves and common hyperplanes below the second level: most neighbours come from the rounds alone."""
+    for name, value in (("LEAF", 12), ("LARGEST_LEAF", 24), ("TREES", 2), ("TREE_LEVELS", 2)):
+        monkeypatch.setattr(nn, name, value)
+    x = clustered(1200, 16, 6)
+    s = Scratch(spark)
+    units = s.keep(packed(spark, x))
+    before, after = recall_of(nn.build(units, s, rounds=0).links, x), recall_of(nn.build(units, s).links, x)
+    assert before < 0.6 and after >= 0.9
+
+
+def test_greedy_search(spark, monkeypatch):
+    monkeypatch.setattr(nn, "LEAF", 128)
     x = clustered(1500, 16, 4)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = Scratch(spark)
-    units = s.keep(spark.createDataFrame([(i, "", [float(v) for v in row]) for i, row in enumerate(u)], "nid long, scope string, u array<float>"))
+    units = s.keep(packed(spark, x))
     g = nn.build(units, s)
     q = units.where("nid % 20 = 0").withColumnRenamed("nid", "qid")
     found = {}
