@@ -1,11 +1,14 @@
 """Questions about the graph, each over all nodes at once or for a table of seeds."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.functions.identity import plane_of
 from loamgraph.functions.instants import instant
 from loamgraph.functions.routes import cosine, match_confidence, match_path, match_verb, relevance, stale
+from loamgraph.sources.tables import Scratch, tasks
 
 #: Files of one commit that count for co-change, in order of id.
 CHANGE_FAN_OUT = 512
@@ -115,11 +118,11 @@ def newest_committed(now: DataFrame) -> DataFrame:
 def decision_channel(edges: DataFrame, decisions: DataFrame) -> DataFrame:
     """decision_id, target, relation, valid_from, valid_to, live: what each decision is about, and whether a later one superseded it.
 
-    valid_to is the creation time of the last decision, by instant, that supersedes it; the decision lives while there is none.
+    valid_to is the creation time of the decision that was loaded last (ingested_at, then instant, then text) of those that supersede it; the decision lives while there is none.
     """
     d = decisions.groupBy("decision_id").agg(F.min("created_at").alias("valid_from"))
-    s = edges.where(F.col("kind") == "SUPERSEDES").select(F.col("dst").alias("decision_id"), F.struct(instant("created_at").alias("t"), "created_at").alias("c"))
-    ends = s.groupBy("decision_id").agg(F.max("c.created_at").alias("_text"), F.max("c").alias("c")).select("decision_id", F.col("c.created_at").alias("valid_to"))
+    s = edges.where(F.col("kind") == "SUPERSEDES").select(F.col("dst").alias("decision_id"), F.struct("ingested_at", instant("created_at").alias("t"), "created_at").alias("c"))
+    ends = s.groupBy("decision_id").agg(F.max("c").alias("c")).select("decision_id", F.col("c.created_at").alias("valid_to"))
     t = edges.where(F.col("kind").isin("DECIDES", "SUPERSEDES", "ADDRESSES_RISK")).select(F.col("src").alias("decision_id"), F.col("dst").alias("target"), F.col("kind").alias("relation"))
     return t.join(d, "decision_id").join(ends, "decision_id", "left").withColumn("live", F.col("valid_to").isNull())
 
@@ -151,6 +154,49 @@ def semantic(summaries: DataFrame, query: Column, k: int, floor: float = 0.6, br
     return top if branches is None else top.where(plane_of(F.col("target_id")).isin(*branches))
 
 
+def _usable(summaries: DataFrame, vector: str, dimension: int) -> DataFrame:
+    fine = (F.size(vector) == dimension) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+    s = summaries.where(F.coalesce(fine, F.lit(False)) & F.col("summary_id").isNotNull())
+    return s.groupBy("summary_id").agg(F.min("target_id").alias("target_id"), F.min(vector).alias("v"))
+
+
+#: Vectors of one block of queries or of summaries.
+QUERY_BLOCK, SUMMARY_BLOCK = 1024, 4096
+
+
+def semantic_many(summaries: DataFrame, queries: DataFrame, k: int, floor: float = 0.6, branches: list[str] | None = None, vector: str = "embedding", dimension: int = 64, scratch: Scratch | None = None) -> DataFrame:
+    """query_id, summary_id, target_id, score: `semantic` for each vector of a table of queries (summary_id and vector) against all summaries.
+
+    Both sides are dealt to blocks; a block of summaries meets each block of queries in one task, as two matrices, and keeps each query's k best; those of all blocks
+    are then ranked. Cosines in double precision, ties to the smaller id.
+    """
+    scratch = scratch or Scratch(summaries.sparkSession)
+    rows, n = scratch.counted(_usable(summaries, vector, dimension))
+    asked, q = scratch.counted(_usable(queries, vector, dimension))
+    deal = lambda df, count, size, name: df.withColumn(name, F.pmod(F.xxhash64("summary_id"), F.lit(-(-count // size) or 1)).cast("int"))
+    blocks = -(-q["n"] // QUERY_BLOCK) or 1
+    left = deal(rows, n["n"], SUMMARY_BLOCK, "sb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("sb", "qb", "summary_id", "v")
+    right = deal(asked, q["n"], QUERY_BLOCK, "qb").withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit((-(-n["n"] // SUMMARY_BLOCK) or 1) - 1)))).select("sb", "qb", F.col("summary_id").alias("query_id"), "v")
+
+    def meet(s, q):
+        if not len(s) or not len(q):
+            return pd.DataFrame({"query_id": pd.Series([], dtype=object), "summary_id": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
+        s = s.sort_values("summary_id")
+        unit = lambda c: (lambda m: m / np.sqrt((m * m).sum(1, keepdims=True)))(np.stack(c.to_numpy()).astype(float))
+        score = (1 + np.maximum(np.einsum("ij,kj->ik", unit(q["v"]), unit(s["v"])), 0)) / 2
+        order = np.argsort(-score, axis=1, kind="stable")[:, :k]  # stable: equal scores stay in order of id
+        at = np.repeat(np.arange(len(q)), order.shape[1])
+        best = score[at, order.ravel()]
+        fine = best >= floor
+        return pd.DataFrame({"query_id": q["query_id"].to_numpy()[at[fine]], "summary_id": s["summary_id"].to_numpy()[order.ravel()[fine]], "score": best[fine]})
+
+    parallel = tasks(summaries.sparkSession)
+    found = left.repartition(parallel, "sb", "qb").groupBy("sb", "qb").cogroup(right.repartition(parallel, "sb", "qb").groupBy("sb", "qb")).applyInPandas(meet, "query_id string, summary_id string, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "summary_id")
+    top = found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(1, k)).drop("rn").join(rows.select("summary_id", "target_id"), "summary_id")
+    return top if branches is None else top.where(plane_of(F.col("target_id")).isin(*branches))
+
+
 def api_links(calls: DataFrame, endpoints: DataFrame, host_grounded: Column | None = None) -> DataFrame:
     """call_id, endpoint_id, matched_route, verb, candidate_count, confidence: calls and endpoints on one canonical route, in one plane.
 

@@ -5,9 +5,6 @@ from pyspark.sql import functions as F
 
 from loamgraph.sources.tables import Scratch
 
-#: Components of more members get an id from their least member and size instead of all members.
-LARGEST_HASHED = 100_000
-
 
 def components(pairs: DataFrame, singles: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """node, label: the least node of its component. pairs: a, b in either order; singles: node.
@@ -53,15 +50,22 @@ def lifted_pairs(now: DataFrame, edges: DataFrame) -> DataFrame:
     return j.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def communities(now: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def communities(now: DataFrame, edges: DataFrame, scratch: Scratch | None = None, published: bool = False) -> DataFrame:
     """member, label, community_id, n_members over Classes and Files with functions; single ones are kept.
 
-    community_id: hash of all sorted members, of components up to LARGEST_HASHED; of larger ones, of least member and size.
+    community_id: a hash of the number of members and of the sum of their own hashes, which is the same in any order and needs no list of them, so it
+    serves components of any size. published: the hash of all sorted members in one text, as other tools make it; it gathers a component in one row.
     """
     u = unit_of(now, edges).select(F.col("unit").alias("node")).union(now.where(F.col("kind") == "Class").select(F.col("id").alias("node")))
     c = components(lifted_pairs(now, edges), u.distinct(), scratch)
-    sizes = c.groupBy("label").agg(F.count(F.lit(1)).alias("n_members"))
-    small = c.join(sizes.where(F.col("n_members") <= LARGEST_HASHED), "label").groupBy("label").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\x00"), 256).alias("h"))
-    big = sizes.where(F.col("n_members") > LARGEST_HASHED).select("label", F.sha2(F.concat_ws("\x00", "label", F.col("n_members").cast("string")), 256).alias("h"))
-    ids = small.union(big).select("label", F.concat(F.lit("community:"), "h").alias("community_id"))
-    return c.join(ids, "label").join(sizes, "label").select(F.col("node").alias("member"), "label", "community_id", "n_members")
+    own = F.conv(F.substring(F.sha2("node", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    text = F.array_join(F.array_sort(F.collect_list("node")), "\x00") if published else F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(own).cast("string"))
+    ids = c.groupBy("label").agg(F.concat(F.lit("community:"), F.sha2(text, 256)).alias("community_id"), F.count(F.lit(1)).alias("n_members"))
+    return c.join(ids, "label").select(F.col("node").alias("member"), "label", "community_id", "n_members")
+
+
+def community_graph(now: DataFrame, edges: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): a Community node for each community and a MEMBER_OF edge from each member to it."""
+    c = communities(now, edges, scratch)
+    nodes = c.groupBy("community_id").agg(F.max("n_members").alias("n_members")).select(F.lit("Community").alias("kind"), F.col("community_id").alias("id"), F.col("community_id").alias("qualified_name"), "n_members")
+    return nodes, c.select(F.lit("MEMBER_OF").alias("kind"), F.col("member").alias("src"), F.col("community_id").alias("dst"), F.lit("deterministic").alias("edge_kind"))

@@ -4,7 +4,9 @@ import json
 import re
 from collections.abc import Callable
 
-_VERDICT = re.compile(r"\b(?:faithful|unfaithful|verified|approved|correct|incorrect|guaranteed|proven)\b", re.I)
+#: Words of advice or judgement that a claim must not hold.
+_ADVICE = ["should", "must", "ought", "need to", "needs to", "refactor", "refactored", "refactoring", "recommend", "recommended", "recommendation", "extract the", "violation", "antipattern", "anti-pattern", "code smell", "smell", "smells", "smelly", "poorly", "badly", "too many", "excessive", "bloated", "improve", "fix", "worse", "better to"]
+_VERDICT = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in _ADVICE) + r")(?!\w)", re.I)
 
 
 class Refused(ValueError):

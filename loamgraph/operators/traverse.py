@@ -36,14 +36,15 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, known: DataFrame, depth: i
         seen = scratch.keep(start)
         at = seen.agg(F.max("depth")).first()[0] or 0
     for d in range(at + 1, at + depth + 1):
-        frontier = seen.where(F.col("depth") == d - 1).select("seed", F.col("id").alias("a"))
-        room = seen.groupBy("seed").agg((F.lit(limit) - F.count(F.lit(1))).alias("room"))
+        room = seen.groupBy("seed").agg((F.lit(limit) - F.count(F.lit(1))).alias("room")).where(F.col("room") > 0)
+        frontier = seen.where(F.col("depth") == d - 1).select("seed", F.col("id").alias("a")).join(room, "seed", "left_semi")
         new = frontier.join(view, "a").groupBy("seed", F.col("b").alias("id")).agg(F.min("relation").alias("relation")).join(seen.select("seed", "id"), ["seed", "id"], "left_anti")
         w = Window.partitionBy("seed").orderBy("id")
         new = new.join(room, "seed").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("room"))
-        seen = scratch.keep(seen.unionByName(new.select("seed", "id", "relation", F.lit(d).alias("depth"))), replaces=None)
-        if not seen.where(F.col("depth") == d).limit(1).count():
+        level, wrote = scratch.counted(new.select("seed", "id", "relation", F.lit(d).alias("depth")))
+        if not wrote["n"]:
             break
+        seen = seen.unionByName(level)
     return seen
 
 
@@ -57,13 +58,14 @@ def reach(seeds: DataFrame, steps: DataFrame, depth: int, fan_out: int | None =
     if fan_out is not None:
         view = view.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("rn") <= fan_out).drop("rn")
     view = scratch.keep(view)
-    seen = scratch.keep(seeds.select("seed", F.col("id"), F.lit(0).alias("depth")).distinct())
+    level = scratch.keep(seeds.select("seed", F.col("id"), F.lit(0).alias("depth")).distinct())
+    seen = level
     for d in range(1, depth + 1):
-        new = seen.where(F.col("depth") == d - 1).select("seed", F.col("id").alias("a")).join(view, "a").select("seed", F.col("b").alias("id")).distinct()
-        new = scratch.keep(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d)))
-        if not new.limit(1).count():
+        new = level.select("seed", F.col("id").alias("a")).join(view, "a").select("seed", F.col("b").alias("id")).distinct()
+        level, wrote = scratch.counted(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if not wrote["n"]:
             break
-        seen = scratch.keep(seen.unionByName(new))
+        seen = seen.unionByName(level)
     return seen.where(F.col("depth") > 0)
 
 

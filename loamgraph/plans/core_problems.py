@@ -122,6 +122,32 @@ ks as (select edge_side, key_id, cast(sum(n) as bigint) n_rows, string_agg(k ||
 select ks.edge_side, ks.key_id, n_rows, n_partners, rows_per_kind from ks join
  (select edge_side, key_id, count(distinct p) n_partners from b where key_id is not null group by all) using (edge_side, key_id)""",
 }
+_REFS = SQL["p5_found"][: SQL["p5_found"].rindex("select distinct ref_table")]
 SQL["p5_report"] = f"""
-with f as ({SQL["p5_found"]}), x as (select 1) select ref_table, ref_month, ref_state, count(*) n_ids from f group by all"""
-SQL.pop("p5_report")
+{_REFS.rstrip()}, g as (select ref_table, pool, k, strftime(timezone('UTC', t), '%Y-%m') ref_month, count(*) n, min(t) t from refs where k is not null group by all),
+o as (select ref_table, ref_month, n, case when known.k is null then 'absent' else 'late' end ref_state from g left join known on known.pool=g.pool and known.k=g.k where known.k is null or known.t > g.t)
+select ref_table, ref_month, ref_state, count(*) as n_ids, cast(sum(n) as bigint) as n_rows from o group by all"""
+_A = ", ".join(f"min(cast({c} as varchar)) {c}" for c in NODE_ATTRIBUTES)
+_S = "(" + ", ".join(NODE_ATTRIBUTES) + ")"
+SQL["p6_history"] = f"""
+with s as (select id, try_cast(committed_at as timestamptz) t, {_A} from nodes where id is not null group by all),
+c as (select *, lag(row{_S}) over w lp, row_number() over w rn from s where t is not null window w as (partition by id order by t)),
+v as (select * from c where rn=1 or row{_S} is distinct from lp)
+select id as entity_id, {", ".join(NODE_ATTRIBUTES)}, cast(floor(epoch(t)) as bigint) as valid_from, coalesce(cast(floor(epoch(lead(t) over (partition by id order by t))) as bigint), -1) as valid_to from v"""
+_BARE = "case when {0} like 'branch:%' and contains({0}, chr(31)) then substr({0}, strpos({0}, chr(31)) + 1) else {0} end"
+_TREE = f"""l as (select src p, dst c, max(coalesce(epoch_us(try_cast(committed_at as timestamptz)), -4611686018427387904)) t from edges where kind='CONTAINS' and src is not null and dst is not null group by all),
+nw as (select * from (select *, row_number() over (partition by c order by t desc, p) rn from l) where rn=1),
+ids as (select p id from l union select c from l union select id from nodes where id is not null union select id from platform_nodes where id is not null),
+tr(id, parent, root, depth, path) as (select id, cast(null as varchar), id, cast(0 as bigint), {_BARE.format("id")} from ids where id not in (select c from l)
+ union all select nw.c, tr.id, tr.root, tr.depth+1, tr.path || ' > ' || {_BARE.format("nw.c")} from tr join nw on nw.p=tr.id)"""
+SQL["p3_hierarchy"] = f"""
+with recursive {_TREE}, seed as (select p a from l intersect select c from l), core as (select l.p a, l.c b from l join seed s on s.a=l.p join seed t on t.a=l.c),
+r(x, y) as (select a, b from core union select r.x, c.b from r join core c on c.a=r.y), lp as (select r.x, min(least(r.x, r.y)) g from r join r q on q.x=r.y and q.y=r.x group by 1),
+ot as (select l.c, string_agg(l.p, ' | ' order by l.p) o from l join nw on nw.c=l.c where l.p<>nw.p group by 1)
+select ids.id as node_id, coalesce(tr.parent, case when tr.id is null then nw.p end) as parent_id, coalesce(ot.o, '') as other_parents, tr.root as root_id, tr.depth, tr.path as full_path,
+ case when tr.id is null then 'in_loop_or_below' else 'placed' end as state, lp.g as loop_id
+from ids left join tr on tr.id=ids.id left join nw on nw.c=ids.id left join ot on ot.c=ids.id left join lp on lp.x=ids.id"""
+SQL["p3_descendants"] = f"""
+with recursive {_TREE}, up(node, anc, n, seen) as (select c, p, cast(1 as bigint), [c, p] from nw where c<>p
+ union all select up.node, nw.p, up.n+1, list_append(up.seen, nw.p) from up join nw on nw.c=up.anc where not list_contains(up.seen, nw.p))
+select anc as ancestor_id, node as descendant_id, n as distance from up"""
