@@ -8,6 +8,7 @@ import ast
 import bisect
 import json
 import posixpath
+import re
 import warnings
 from collections.abc import Iterator
 
@@ -15,13 +16,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgraph.functions.routes import api_call_name
+from loamgraph.operators.traverse import reach
 from loamgraph.sources.lexers import CLOSES, EXTENSIONS, Bad, lex
+from loamgraph.sources.tables import Scratch
 
 #: Languages whose names may call one another.
 FAMILY = {"typescript": "ecma", "javascript": "ecma"}
 _TYPES = {"java": ("class", "interface", "enum", "record"), "kotlin": ("class", "interface", "object"), "rust": ("struct", "enum", "trait"), "typescript": ("class", "interface", "enum"), "javascript": ("class",)}
 _NO_CALL = frozenset("if for while switch catch return when match fn func fun function synchronized super this new throw sizeof typeof await yield assert try do else case in of is as not and or elif print".split())
 _NO_TYPE = frozenset("let const var val mut return final static new throw else case in of package import".split())
+#: Languages of extracted files: those of the lexers, and forms of the last two; a Svelte file is read through its inline scripts.
+READ = {**EXTENSIONS, "tsx": "typescript", "mts": "typescript", "cts": "typescript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "svelte": "typescript"}
+#: Packages whose functions send requests, verbs, and the verbs of one client's methods (`*` for any).
+JS_CLIENTS = ("axios", "node-fetch")
+VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+REST_TEMPLATE = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "postForLocation": "POST", "put": "PUT", "delete": "DELETE", "patchForObject": "PATCH", "headForHeaders": "HEAD", "optionsForAllow": "OPTIONS", "exchange": "*", "execute": "*"}
+_SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.S | re.I)
 FACTS = "fact string, a string, b string, c string, kind string, name string, start_line int, end_line int, is_test boolean"
 
 
@@ -175,9 +186,54 @@ class _Reader:
             if t and t != "self":
                 self.link("uses", owner or self.path, t.split("<")[0].strip("&*[]?."))
         if body:
-            self.calls(body.inner, qn, owner, dict((n, t) for n, t in params if n))
-
-    def calls(self, items, caller, owner, bound):
+            self.calls(body.inner, qn, owner, dict((n, t) for n, t in params if n), [n for n, _ in params])
+
+    def http(self, items, i, caller, known, receiver, params):
+        """A call that sends a request: its verb and address, or the parameter that the address comes from, or the field that it is appended to.
+
+        Recognised by where the callee comes from, never by syntax: an ambient or imported function of a known package, or a receiver of a known type.
+        """
+        name, args = items[i].text, _parts(items[i + 1].inner)
+        first = args[0] if args else []
+        verb = None
+        if self.language in FAMILY:
+            base = receiver.text if receiver is not None and receiver.kind == "w" else name if receiver is None and not (i and items[i - 1].text == ".") else None
+            origin = self.bound_imports.get(base)
+            if base and (origin in JS_CLIENTS if base in self.bound_imports else base == "fetch"):
+                option = next((p[2].text.strip("'\"`").upper() for a in args[1:] for o in a if o.kind == "{" for p in _parts(o.inner) if len(p) == 3 and p[0].text == "method" and p[2].kind == "s"), "GET")
+                verb = name.upper() if receiver is not None and name.upper() in VERBS else option if receiver is None else None
+        elif self.language in ("java", "kotlin"):
+            if known == "RestTemplate" and name in REST_TEMPLATE:
+                named = next((a[2].text for a in args[1:] if len(a) == 3 and a[0].text == "HttpMethod"), None)
+                verb = REST_TEMPLATE[name] if REST_TEMPLATE[name] != "*" else named or "*"
+            elif name == "uri" and i >= 2:
+                chain, j = [], i - 1
+                while j > 0 and items[j].text == ".":
+                    j -= 1
+                    if items[j].kind == "(":
+                        j -= 1
+                    chain.append(items[j])
+                    j -= 1
+                root = self.types_here.get(chain[-1].text) if chain else None
+                if root == "WebClient":
+                    verb = next((w.text.upper() for w in chain if w.text.upper() in VERBS), "*")
+        texts = [k for k, a in enumerate(args) if len(a) == 1 and a[0].kind == "s"]
+        for k in texts:
+            self.link("text_arg", caller, name, json.dumps({"at": k, "text": args[k][0].text}))
+        if verb is None:
+            return
+        if len(first) == 1 and first[0].kind == "s":
+            self.link("sends", caller, verb, json.dumps({"url": first[0].text if first[0].text != "``" else None}))
+        elif len(first) == 3 and first[0].kind == "w" and first[1].text == "+" and first[2].kind == "s":
+            self.link("sends", caller, verb, json.dumps({"url": first[2].text, "field": first[0].text}))
+        elif len(first) == 1 and first[0].text in params:
+            self.link("sends_param", caller, verb, str(params.index(first[0].text)))
+
+    bound_imports: dict = {}
+    types_here: dict = {}
+
+    def calls(self, items, caller, owner, bound, params=()):
+        self.types_here = {**{n: t for (o, n), t in self.fields.items() if o == owner}, **bound}
         for i, x in enumerate(items):
             nxt = items[i + 1] if i + 1 < len(items) else None
             if x.kind == "w" and x.text not in _NO_TYPE and nxt is not None and nxt.kind == "w" and i + 2 < len(items) and items[i + 2].kind == "o" and items[i + 2].text in ("=", ";", ":"):
@@ -187,12 +243,13 @@ class _Reader:
                 if receiver is None and not (i and items[i - 1].kind == "o" and items[i - 1].text in (".", "?.", "::")):
                     known = owner.split(".")[-1].split("::")[-1] if owner else None
                 elif receiver is not None and receiver.kind == "w":
-                    known = owner.split(".")[-1].split("::")[-1] if receiver.text in ("this", "self", "Self") and owner else bound.get(receiver.text) or self.fields.get((owner, receiver.text)) or (receiver.text if receiver.text[:1].isupper() else None)
+                    known = owner.split(".")[-1].split("::")[-1] if receiver.text in ("this", "self", "Self") and owner else bound.get(receiver.text) or self.fields.get((owner, receiver.text)) or ("?" + receiver.text if receiver.text[:1].isupper() else None)
                 else:
                     known = None
                 self.link("call", caller, x.text, (known or "").split("<")[0] or None)
+                self.http(items, i, caller, known, receiver, params)
             if x.inner:
-                self.calls(x.inner, caller, owner, bound)
+                self.calls(x.inner, caller, owner, bound, params)
 
     fields: dict = {}
 
@@ -207,6 +264,9 @@ class _Reader:
                 if t:
                     self.fields[owner, items[k].text] = t
                     self.link("uses", owner or self.path, t)
+                    at = next((q for q in range(k - 1, max(-1, k - 8), -1) if items[q].word("Value") and q and items[q - 1].text == "@" and items[q + 1].kind == "("), None)
+                    if at is not None and items[at + 1].inner and items[at + 1].inner[0].kind == "s":
+                        self.link("config", owner, items[k].text, items[at + 1].inner[0].text[1:-1])
         while i < n:
             x = items[i]
             nxt = items[i + 1] if i + 1 < n else None
@@ -222,6 +282,9 @@ class _Reader:
                     j += 1
                 raw = items[j].text.strip("'\"`") if j < n and items[j].kind == "s" else _text([y for y in items[i + 1 : j] if not y.word("static")])
                 self.link("import", self.path, raw)
+                if g in FAMILY and j < n and items[j].kind == "s":
+                    flat = [y for x in items[i + 1 : j] for y in (x.inner if x.kind == "{" else [x])]
+                    self.bound_imports = {**self.bound_imports, **{y.text: raw for y in flat if y.kind == "w" and y.text not in ("from", "as", "type", "default")}}
                 i = j + 1 if j < n and (items[j].kind == "s" or items[j].text == ";") else j
                 continue
             if g in _TYPES and x.word(*_TYPES[g]) and nxt is not None and nxt.kind == "w" and not (i and items[i - 1].text in (".", "::")):
@@ -376,10 +439,27 @@ class _Reader:
                         self.link("contains", self.path, t.id)
 
 
+def scripts_only(text: str) -> str:
+    """A Svelte text with all but its inline scripts blanked; lines keep their numbers. Scripts with a `src` hold no code."""
+    out, at = [], 0
+    blank = lambda t: re.sub(r"[^\r\n]", " ", t)
+    for m in _SCRIPT.finditer(text):
+        if not re.search(r"\bsrc\s*=", m[1]):
+            out += [blank(text[at : m.start(2)]), m[2]]
+            at = m.end(2)
+    return "".join([*out, blank(text[at:])])
+
+
+def _language(path: str | None) -> str | None:
+    return READ.get((path or "").rsplit(".", 1)[-1].lower())
+
+
 def read_source(path: str | None, text: str | None) -> list[tuple]:
     """All facts of one text; none for a null or one of no known extension."""
-    language = EXTENSIONS.get((path or "").rsplit(".", 1)[-1].lower())
-    return _Reader(path, text, language).rows if language and text is not None else []
+    language = _language(path)
+    if not language or text is None:
+        return []
+    return _Reader(path, scripts_only(text) if path.lower().endswith(".svelte") else text, language).rows
 
 
 def facts(files: DataFrame) -> DataFrame:
@@ -392,7 +472,7 @@ def facts(files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for row in b.itertuples(index=False):
-                g = EXTENSIONS.get((row.path or "").rsplit(".", 1)[-1].lower())
+                g = _language(row.path)
                 out += [(*[getattr(row, c) for c in keep], FAMILY.get(g, g), *f) for f in read_source(row.path, row.content)]
             df = pd.DataFrame(out, columns=[*keep, "family", *names])
             for c in ("start_line", "end_line"):
@@ -418,30 +498,90 @@ def annotations(f: DataFrame, kind: str) -> DataFrame:
     return m.join(ids, ["repo", "source_commit", "a"], "left_semi").groupBy("repo", "source_commit", F.col("a").alias("id")).agg(F.collect_list("m").alias("marks"))
 
 
-def extracted_edges(f: DataFrame) -> DataFrame:
-    """CONTAINS, CALLS, DEPENDS_ON and IMPORTS of each repository and commit: repo, source_commit, kind, src, dst, resolution.
+def call_edges(f: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """repo, source_commit, src, dst, resolution of calls.
 
-    A call whose receiver's type is known goes to that type's methods of the name, or those of its super- and subtypes, as `typed`; if there are none, or nothing is known, to every callable
-    of the name in the same family, as `name` for Java and without a resolution for others. Typed beats name. No callable calls itself here. Dependencies rest on simple
-    type names. Relative imports are looked for as written, with the extensions, and as index files, in that order.
+    Java: a receiver's type names a class by its simple name; of several the one that the caller's file imports, else all of them as a guess. The call goes to the methods of that
+    name of the class and of all classes above and below it, at any distance, but not of its siblings: `typed`, or `name` after a guess. If a receiver's type is known and
+    none is found, there is no edge; calls in a class's own scope, of unknown type or on a name that is no class here, then go to every method of the name, as `name`. Typed beats name.
+    Other languages: to every callable of the name in the same family, without a resolution. No callable calls itself here.
     """
+    scratch = scratch or Scratch(f.sparkSession)
     key = ["repo", "source_commit"]
     nodes = f.where(F.col("fact") == "node")
     able = nodes.where(F.col("kind").isin("Method", "Function")).select(*key, "family", F.col("a").alias("dst"), "name").distinct()
-    able = able.withColumn("type", F.element_at(F.split(F.element_at(F.split("dst", "#"), 1), r"\.|::"), -1))
-    own = F.when(F.col("dst").contains("#"), F.col("type")).alias("type")
-    able = able.select(*key, "family", "dst", "name", own)
-    calls = f.where(F.col("fact") == "call").select(*key, "family", F.col("a").alias("src"), F.col("b").alias("name"), F.col("c").alias("type")).distinct()
-    ext = f.where(F.col("fact") == "extends").select(*key, "family", F.element_at(F.split("a", r"\.|::"), -1).alias("type"), F.col("b").alias("kin")).distinct()
-    near = ext.union(ext.select(*key, "family", F.col("kin"), F.col("type"))).distinct()
-    kin = calls.select(*key, "family", "type").where(F.col("type").isNotNull()).distinct()
-    kin = kin.withColumn("kin", F.col("type")).union(kin.join(near, [*key, "family", "type"]))
-    typed = calls.join(kin, [*key, "family", "type"]).join(able.withColumnRenamed("type", "kin"), [*key, "family", "name", "kin"]).select(*key, "family", "src", "dst", "name").distinct()
-    rest = calls.select(*key, "family", "src", "name").join(typed.select(*key, "family", "src", "name").distinct(), [*key, "family", "src", "name"], "left_anti")
-    named = rest.distinct().join(able.drop("type"), [*key, "family", "name"]).select(*key, "src", "dst", F.when(F.col("family") == "java", 0).alias("r"))
-    both = typed.select(*key, "src", "dst", F.lit(1).alias("r")).union(named).where(F.col("src") != F.col("dst"))
+    sites = f.where(F.col("fact") == "call").select(*key, "family", F.col("a").alias("src"), F.col("b").alias("name"), F.col("c").alias("type")).distinct()
+    other = sites.where(F.col("family") != "java").select(*key, "family", "src", "name").distinct().join(able, [*key, "family", "name"]).select(*key, "src", "dst", F.lit(None).cast("int").alias("r"))
+    java = scratch.keep(sites.where(F.col("family") == "java").drop("family"))
+    able = able.where(F.col("family") == "java").drop("family")
+    classes = scratch.keep(nodes.where((F.col("kind") == "Class") & (F.col("family") == "java")).select(*key, F.col("a").alias("cid"), F.col("name").alias("type")).distinct())
+    mine = F.when(F.col("src").contains("#"), F.element_at(F.split("src", "#"), 1))
+    java = java.withColumns({"static": F.coalesce(F.col("type").startswith("?"), F.lit(False)), "type": F.regexp_replace("type", r"^\?", ""), "mine": mine})
+    own = java.where(~F.col("static") & (F.col("type") == F.element_at(F.split("mine", r"\."), -1)))
+    inside = own.select(*key, "src", "name", "type", F.col("mine").alias("cid"), F.lit(1).alias("precise"), F.lit(False).alias("blocks"))
+    foreign = java.where(F.col("type").isNotNull()).join(own.select(*key, "src", "name", "type").distinct(), [*key, "src", "name", "type"], "left_anti")
+    path = nodes.select(*key, F.col("a").alias("src"), F.col("b").alias("path")).distinct()
+    brought = f.where(F.col("fact") == "import").select(*key, F.col("a").alias("path"), F.col("b").alias("cid"), F.lit(1).alias("brought")).distinct()
+    cands = foreign.join(classes, [*key, "type"]).join(path, [*key, "src"], "left").join(brought, [*key, "path", "cid"], "left")
+    site = Window.partitionBy(*key, "src", "name", "type")
+    cands = cands.withColumns({"n": F.count(F.lit(1)).over(site), "k": F.sum(F.coalesce("brought", F.lit(0))).over(site)})
+    cands = cands.where((F.col("k") != 1) | (F.col("brought") == 1))
+    seeds = inside.unionByName(cands.select(*key, "src", "name", "type", "cid", ((F.col("n") == 1) | (F.col("k") == 1)).cast("int").alias("precise"), F.lit(True).alias("blocks")))
+    # a declared type that is no class here says that the callee is none of these methods either
+    unknown = foreign.where(~F.col("static")).join(classes.select(*key, "type").distinct(), [*key, "type"], "left_anti").select(*key, "src", "name", "type")
+    seeds = scratch.keep(seeds)
+    full = lambda c: F.concat_ws("\x00", "repo", "source_commit", c)
+    ext = f.where((F.col("fact") == "extends") & (F.col("family") == "java")).select(*key, F.col("a").alias("below"), F.col("b").alias("type")).distinct()
+    steps = scratch.keep(ext.join(classes, [*key, "type"]).select(full("below").alias("a"), full("cid").alias("b")).distinct())
+    ends = scratch.keep(seeds.select(full("cid").alias("seed")).distinct().withColumn("id", F.col("seed")))
+    kin = reach(ends, steps, 64, fan_out=None, scratch=scratch).union(reach(ends, steps.select(F.col("b").alias("a"), F.col("a").alias("b")), 64, fan_out=None, scratch=scratch))
+    kin = kin.select("seed", "id").union(ends.select("seed", "id")).distinct()
+    methods = able.where(F.col("dst").contains("#")).select(full(F.element_at(F.split("dst", "#"), 1)).alias("id"), "name", "dst")
+    hits = seeds.withColumn("seed", full("cid")).join(kin, "seed").join(methods, ["id", "name"]).select(*key, "src", "name", "type", "dst", F.col("precise").alias("r")).distinct()
+    hits = scratch.keep(hits)
+    settled = hits.select(*key, "src", "name", "type").union(seeds.where("blocks").select(*key, "src", "name", "type")).union(unknown).distinct()
+    none = lambda df: df.withColumn("type", F.coalesce("type", F.lit("")))
+    rest = none(java.select(*key, "src", "name", "type")).distinct().join(none(settled), [*key, "src", "name", "type"], "left_anti")
+    named = rest.select(*key, "src", "name").distinct().join(able, [*key, "name"]).select(*key, "src", "dst", F.lit(0).alias("r"))
+    both = hits.select(*key, "src", "dst", "r").union(named).union(other).where(F.col("src") != F.col("dst"))
     c = both.groupBy(*key, "src", "dst").agg(F.max("r").alias("r"))
-    out = [c.select(*key, F.lit("CALLS").alias("kind"), "src", "dst", F.when(F.col("r") == 1, "typed").when(F.col("r") == 0, "name").alias("resolution"))]
+    return c.select(*key, "src", "dst", F.when(F.col("r") == 1, "typed").when(F.col("r") == 0, "name").alias("resolution"))
+
+
+def api_calls(f: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """repo, source_commit, caller, qualified_name, host, derived: requests that sources send, as `apicall:VERB /path`, once each.
+
+    A literal address names its path. An address appended to a configured field counts if `hosts` (repo, field, host) grounds that field, and is derived. So is one that a helper takes as a
+    parameter: every literal passed at that place to a callable of the helper's name in its repository is an address. Others give no row.
+    """
+    key = ["repo", "source_commit"]
+    sent = f.where(F.col("fact") == "sends").select(*key, F.col("a").alias("caller"), F.col("b").alias("verb"), F.from_json("c", "url string, field string").alias("j"))
+    literal = sent.where(F.col("j.field").isNull()).select(*key, "caller", "verb", F.col("j.url").alias("url"), F.lit(None).cast("string").alias("host"), F.lit(False).alias("derived"))
+    parts = [literal]
+    if hosts is not None:
+        grounded = sent.where(F.col("j.field").isNotNull()).withColumn("field", F.col("j.field")).join(hosts.select("repo", "field", F.col("host").alias("h")).where(F.col("h").isNotNull()), ["repo", "field"])
+        parts.append(grounded.select(*key, "caller", "verb", F.col("j.url").alias("url"), F.col("h").alias("host"), F.lit(True).alias("derived")))
+    helper = f.where(F.col("fact") == "sends_param").select(*key, F.col("a").alias("helper"), F.col("b").alias("verb"), F.col("c").cast("int").alias("at"))
+    named = f.where((F.col("fact") == "node") & F.col("kind").isin("Method", "Function")).select(*key, F.col("a").alias("helper"), "name").distinct()
+    given = f.where(F.col("fact") == "text_arg").select(*key, F.col("a").alias("caller"), F.col("b").alias("name"), F.from_json("c", "at int, text string").alias("j"))
+    one = helper.join(named, [*key, "helper"]).join(given.select(*key, "caller", "name", F.col("j.at").alias("at"), F.col("j.text").alias("url")), [*key, "name", "at"])
+    parts.append(one.select(*key, "caller", "verb", "url", F.lit(None).cast("string").alias("host"), F.lit(True).alias("derived")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = rows.withColumn("qualified_name", api_call_name(F.col("verb"), F.col("url"))).where(F.col("qualified_name").isNotNull())
+    return rows.groupBy(*key, "caller", "qualified_name").agg(F.max("host").alias("host"), F.min("derived").alias("derived"))
+
+
+def extracted_edges(f: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """CONTAINS, CALLS (`call_edges`), DEPENDS_ON and IMPORTS of each repository and commit: repo, source_commit, kind, src, dst, resolution.
+
+    Dependencies rest on simple type names. Relative imports are looked for as written, with the extensions, and as index files, in that order.
+    """
+    key = ["repo", "source_commit"]
+    nodes = f.where(F.col("fact") == "node")
+    c = call_edges(f, scratch)
+    out = [c.select(*key, F.lit("CALLS").alias("kind"), "src", "dst", "resolution")]
     none = F.lit(None).cast("string").alias("resolution")
     out.append(f.where(F.col("fact") == "contains").select(*key, F.lit("CONTAINS").alias("kind"), F.col("a").alias("src"), F.col("b").alias("dst"), none).distinct())
     classes = nodes.where(F.col("kind") == "Class").select(*key, "family", F.col("a").alias("dst"), F.col("name").alias("b")).distinct()

@@ -27,9 +27,17 @@ def check_branches(repo: str, branches: list[str]) -> list[str]:
     return sorted(set(branches))
 
 
-def commits(spark: SparkSession, repo: str, revision: str = "HEAD") -> DataFrame:
-    """commit_ord, source_commit, author, committed_at; oldest first."""
-    text = _git(repo, "log", "--reverse", "--topo-order", "--format=%H%x00%an <%ae>%x00%cI", revision) if _git(repo, "rev-list", "--all", "-n", "1").strip() else ""
+def has_commits(repo: str) -> bool:
+    return bool(_git(repo, "rev-list", "--all", "-n", "1").strip())
+
+
+def head(repo: str, branch: str) -> str:
+    return _git(repo, "rev-parse", f"refs/heads/{branch}").strip()
+
+
+def commits(spark: SparkSession, repo: str, *revisions: str) -> DataFrame:
+    """commit_ord, source_commit, author, committed_at of all commits that a revision (HEAD, if none is named) reaches, each once; oldest first."""
+    text = _git(repo, "log", "--reverse", "--topo-order", "--format=%H%x00%an <%ae>%x00%cI", *(revisions or ("HEAD",))) if has_commits(repo) else ""
     rows = [(i, *line.split("\x00")) for i, line in enumerate(text.splitlines())]
     return spark.createDataFrame(rows, "commit_ord long, source_commit string, author string, committed_at string")
 

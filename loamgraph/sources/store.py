@@ -37,9 +37,9 @@ class Store:
         v = self.version(name)
         return None if v is None else self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}/{v}")
 
-    def write(self, name: str, df: DataFrame) -> str:
+    def write(self, name: str, df: DataFrame, by: str | None = "kind") -> str:
         v = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy("kind").parquet(f"{self.folder}/{name}/{v}")
+        (df.write.partitionBy(by) if by else df.write).parquet(f"{self.folder}/{name}/{v}")
         out = self._fs.create(self._pointer(name), True)
         out.write(bytearray(json.dumps({"version": v}).encode()))
         out.close()
@@ -51,6 +51,17 @@ class Store:
         both = rows if now is None else now.unionByName(rows, allowMissingColumns=True)
         return self.write(name, graph.nodes_now(both) if name == "nodes" else graph.edges_now(both))
 
+    def write_manifest(self, rows: DataFrame) -> str:
+        """Which branches were captured: rows of the same id replace earlier ones."""
+        v = self.version("manifest")
+        old = None if v is None else self.spark.read.parquet(f"{self.folder}/manifest/{v}")
+        both = rows if old is None else old.join(rows.select("id"), "id", "left_anti").unionByName(rows)
+        return self.write("manifest", both, by=None)
+
+    def manifest(self) -> DataFrame | None:
+        v = self.version("manifest")
+        return None if v is None else self.spark.read.parquet(f"{self.folder}/manifest/{v}")
+
     def wipe_plane(self, branch: str | None) -> None:
         n, e = graph.wipe_plane(self.read("nodes"), self.read("edges"), branch)
         self.write("nodes", n)
