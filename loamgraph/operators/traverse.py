@@ -81,3 +81,13 @@ def changed_methods(files: DataFrame, edges: DataFrame, now: DataFrame, scratch:
     down = edges.where(F.col("kind") == "CONTAINS").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     methods = now.where(F.col("kind") == "Method").select("id").distinct()
     return reach(files, down, 32, fan_out=None, scratch=scratch).join(methods, "id", "left_semi").select("seed", "id")
+
+
+def change_set(now: DataFrame, edges: DataFrame, files: list[str] = (), methods: list[str] = (), commit: str | None = None, kinds: tuple[str, ...] = ("Method",), scratch: Scratch | None = None) -> DataFrame:
+    """seed, id: the methods of a change set of file paths, method ids and a commit's files, each once. Only nodes of `kinds` are methods."""
+    able = now.where(F.col("kind").isin(*kinds)).select("id").distinct()
+    by_path = now.where((F.col("kind") == "File") & F.col("path").isin(list(files))).select("id")
+    by_commit = edges.where((F.col("kind") == "MODIFIES") & (F.col("src") == F.lit(commit))).select(F.col("dst").alias("id"))
+    changed = by_path.union(by_commit).distinct().select(F.lit("change").alias("seed"), "id")
+    inside = changed_methods(changed, edges, now, scratch).select("id")
+    return inside.union(able.where(F.col("id").isin(list(methods)))).join(able, "id", "left_semi").distinct().select(F.lit("change").alias("seed"), "id")
