@@ -127,7 +127,7 @@ ANSWER = {"claims": [{"text": "it loads rows", "source_refs": ["A", "Z"]}, {"tex
 def test_curation():
     out = curate.produce(REQUEST, lambda p: json.dumps(ANSWER) if "- A" in p else "")
     assert out["claims"] == [{"text": "it loads rows", "source_refs": ["A"]}] and out["confidence"] == 0.5
-    for bad in ({"gap": " "}, {"confidence": True}, {"confidence": 2}, {"claims": []}, {"claims": [{"text": "verified by me", "source_refs": ["A"]}]}):
+    for bad in ({"gap": " "}, {"confidence": True}, {"confidence": 2}, {"claims": []}, {"claims": [{"text": "this part should be split", "source_refs": ["A"]}]}):
         with pytest.raises(curate.Refused):
             curate.produce(REQUEST, lambda p, bad=bad: json.dumps({**ANSWER, **bad}))
     with pytest.raises(curate.Refused):
