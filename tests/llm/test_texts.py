@@ -1,6 +1,7 @@
 """Leaks, mixing and abuse on small tables."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +160,22 @@ def test_all_of_a_long_sentence_is_scored():
             assert begin <= max(0, at - abuse.OVERLAP)
             at = begin + len(p)
         assert at == len(text)
+
+
+def test_long_words_tags_and_texts_are_read_whole_and_soon():
+    began = time.time()
+    for token in ("a" * 2_000_000, "1" * 2_000_000, "aB1" * 600_000):
+        read = abuse.sentences(f"{token} zz bad end of it")
+        assert read[-1].endswith("zz bad end of it")
+    comment, tag = "<!--" + "hidden words " * 200 + "-->", '<div class="' + "c " * 300 + '" data-x=\'1\' hidden>'
+    assert words(f"one {comment} two {tag} three a <b and c> d <!-- open") == ["one", "two", "three", "a", "d", "open"]
+    assert words("x <b " + "word, " * 100 + "> y")[:3] == ["x", "b", "word"]  # too long, and no attributes
+    assert abuse.sentences("see `" + "some code " * 20 + "` please") == ["see 8 please"]
+    assert time.time() - began < 30
+
+
+def test_tokens_of_a_long_text_are_those_of_one_encoding(spark):
+    text = " ".join(prose(100_000, 8)) + "  " + "x" * 50_000
+    assert len(text) > 400_000
+    got = spark.createDataFrame([(1, text), (2, None), (3, "")], "i int, t string").select("i", mixing.token_counts(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {1: len(mixing._encoder(mixing.VOCABULARY).encode_ordinary(text)), 2: 0, 3: 0}
