@@ -143,16 +143,17 @@ def places_of(item: list[str]) -> dict[tuple, list[int]]:
     return at
 
 
-def leaked_span(doc: list[str], at: dict[tuple, list[int]]) -> tuple[int, float]:
+def leaked_span(doc: list[str], at: dict[tuple, list[int]], where=None) -> tuple[int, float]:
     """Longest stretch of the item, in its words, that stands in the text, and the share of those words found there.
 
     Every shingle of the text that the item has is placed at all its positions in the item. Stretches join to runs when the gap
     is at most GAP words on either side and about equal on both. In each run the longest part with a share of COVERED or more is
     sought over all its stretches' starts, so a thin beginning takes nothing from a dense rest; a word for word stretch stays in one run.
+    where: the places in the text at which a shingle of the item may stand, in order; all if not given.
     """
     open_runs: list[list] = []  # starts of stretches (item word, words covered before it), last item word, last doc word, covered words
     best = (0, 0.0)
-    for d in range(len(doc) - SHINGLE + 1):
+    for d in range(len(doc) - SHINGLE + 1) if where is None else where:
         places = at.get(tuple(doc[d : d + SHINGLE]))
         if not places:
             continue
@@ -186,8 +187,8 @@ def leaked_span(doc: list[str], at: dict[tuple, list[int]]) -> tuple[int, float]
     return best
 
 
-def is_leak(doc: list[str], item: list[str], at: dict[tuple, list[int]] | None = None) -> tuple[int, float] | None:
-    span, share = leaked_span(doc, places_of(item) if at is None else at)
+def is_leak(doc: list[str], item: list[str], at: dict[tuple, list[int]] | None = None, where=None) -> tuple[int, float] | None:
+    span, share = leaked_span(doc, places_of(item) if at is None else at, where)
     return (span, share) if span >= min(PASSAGE, len(item)) and span >= SHINGLE else None
 
 
@@ -242,32 +243,35 @@ def _by_broadcast(docs: DataFrame, its: DataFrame) -> DataFrame:
     def search(batches):
         names, tokens, owners, values, first, ends, passages, theirs, fewest = shared.value
         cache: dict[str, int] = {}
-        placed: dict[int, dict] = {}
+        placed: dict[int, tuple] = {}
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["doc_text"]):
                 w = words(text)
                 if len(cache) > 2_000_000:
                     cache.clear()
-                sig, sizes = window_signatures(_word_ids(w, cache), theirs, fewest)
+                ids = _word_ids(w, cache)
+                sig, sizes = window_signatures(ids, theirs, fewest)
                 if not len(sig):
                     continue
                 flat = sig.ravel()
                 at = np.searchsorted(values, flat)
                 at[at == len(values)] = 0
-                hit = np.nonzero(values[at] == flat)[0]
+                hit = np.flatnonzero(values[at] == flat)
                 if not len(hit):
                     continue
-                counts: dict[tuple[int, int], int] = defaultdict(int)
-                for h in hit:
-                    win = h // PERMUTATIONS
-                    for p in passages[first[at[h]] : ends[at[h]]]:
-                        counts[win, p] += 1
-                candidates = {owners[p] for (win, p), n in counts.items() if n >= least_matches(int(sizes[win]))}
-                for c in sorted(candidates):
+                # equal values per window and passage, all at once
+                begin, many = first[at[hit]], ends[at[hit]] - first[at[hit]]
+                spots = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+                pair, n = np.unique(np.repeat(hit // PERMUTATIONS, many) * len(owners) + passages[spots], return_counts=True)
+                need = np.array([least_matches(int(z)) for z in sizes])
+                h = shingles(ids)
+                for c in np.unique(owners[pair[n >= need[pair // len(owners)]] % len(owners)]).tolist():
                     if c not in placed:
-                        placed[c] = places_of(tokens[c])
-                    if got := is_leak(w, tokens[c], placed[c]):
+                        placed[c] = places_of(tokens[c]), np.unique(shingles(_word_ids(tokens[c], cache)))
+                    where = np.flatnonzero(np.isin(h, placed[c][1]))
+                    # fewer shingles than a passage must hold can't verify
+                    if len(where) >= fewest and (got := is_leak(w, tokens[c], placed[c][0], where.tolist())):
                         out.append((doc_id, names[c], *got))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_words", "covered"])
 
