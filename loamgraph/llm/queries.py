@@ -30,6 +30,12 @@ def p2_surprise(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.surprising_pairs(_changes(spark, d), min_pair=1)
 
 
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that shares a commit, with its counts and lift."""
+    s = p2_surprise(spark, d)
+    return s.select("scope", "item_a", "item_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     near = neighbours.nearest(table(spark, d, "summaries"), "summary_id", "embedding", "embedding_model", 5, 64)
     return neighbours.close_pairs(near, 0.9).select(F.col("a").alias("summary_a"), F.col("b").alias("summary_b"))
@@ -99,7 +105,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_judged(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p4_found, p4_nearest, p4_search, p8_found, p8_report, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_surprise, p2_counts, p4_found, p4_nearest, p4_search, p8_found, p8_report, p9_uses, p9_shares, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     "p2_found": """
@@ -108,6 +114,13 @@ with m as (select distinct src, dst, string_split(case when dst like 'branch:%'
 i as (select repo, dst, count(*) n from m group by all), r as (select repo, count(distinct src) n from m group by all),
 p as (select a.repo, a.dst x, b.dst y, count(*) n from m a join m b on a.src=b.src and a.repo=b.repo and a.dst<b.dst group by all having count(*) >= 5)
 select x as file_a, y as file_b from p join i a on a.repo=p.repo and a.dst=p.x join i b on b.repo=p.repo and b.dst=p.y join r on r.repo=p.repo where p.n*r.n >= 3*a.n*b.n""",
+    "p2_counts": """
+with m as (select distinct src, dst, string_split(case when dst like 'branch:%' and contains(dst, chr(31)) then substr(dst, strpos(dst, chr(31)) + 1) else dst end, '/')[1] repo
+ from edges where kind='MODIFIES' and src is not null and dst is not null),
+i as (select repo, dst, count(*) n from m group by all), r as (select repo, count(distinct src) n from m group by all),
+p as (select a.repo, a.dst x, b.dst y, count(*) n from m a join m b on a.src=b.src and a.repo=b.repo and a.dst<b.dst group by all)
+select p.repo as scope, x as item_a, y as item_b, p.n as n_ab, i.n as n_a, b.n as n_b, r.n as n, round(p.n * r.n / (i.n * b.n), 6) as lift
+from p join i on i.repo=p.repo and i.dst=p.x join i b on b.repo=p.repo and b.dst=p.y join r on r.repo=p.repo""",
     "p4_found": """
 with r as (select summary_id k, min(embedding) v, embedding_model m from summaries where summary_id is not null and len(embedding)=64
   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x)))=0 and len(list_filter(embedding, lambda x: x<>0))>0 group by all),
