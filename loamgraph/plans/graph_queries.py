@@ -159,9 +159,10 @@ def neighborhood_d2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_NODES}, {_EDGES}, {_SEEDS}, {_VIEW}, {_S0}, {_hop(1, 's0', 's1')}, {_hop(2, 's1', 's2', 50)} select seed, id, relation, depth from s2 where depth=2")
 def expand_next_hop(spark: SparkSession, d: str) -> DataFrame:
-    now, e, s = _now(spark, d), _edges(spark, d, *traverse.WALKED), Scratch(spark)
-    one = traverse.neighbourhood(_methods(now), e, now, 1, 25, scratch=s)
-    return traverse.neighbourhood(None, e, now, 1, 50, start=one, scratch=s).where(F.col("depth") == 2)
+    """A walk reads the keys of nodes and edges only, so the newest row of each key need not be found."""
+    ids = table(spark, d, "nodes").select("kind", "id").union(table(spark, d, "platform_nodes").select("kind", "id")).dropna()
+    links = table(spark, d, "edges").select("kind", "src", "dst")
+    return traverse.neighbourhood(_methods(ids), links, ids, 2, [25, 50], since=2)
 
 
 _IMPACT = """st as (select a, b from (select dst a, src b, row_number() over (partition by dst order by src) rn from (select distinct src, dst from en where kind='CALLS' and src<>dst)) where rn<=512),

@@ -1,5 +1,6 @@
 """Scalar rules, planes, walks, channels and loaders on small graphs."""
 
+import hashlib
 import random
 
 import pytest
@@ -104,6 +105,52 @@ def test_neighbourhood_bounds(spark):
     assert traverse.neighbourhood(seeds, star, known, 1, 60, relations=["MODIFIES"]).count() == 1
 
 
+def test_neighbourhood_limits_by_hop_and_start(spark):
+    """Both ways of a second hop with a limit of its own, against a walk in Python; a hub lies beyond every limit."""
+    links = {(f"n{i:02d}", f"n{(i * i + k) % 60:02d}") for i in range(60) for k in (1, 7)} | {("n05", f"n{i:02d}") for i in range(60)}
+    rows = [(k, a, b, None) for a, b in sorted(links) for k in (["CALLS", "CONTAINS"] if a < b else ["IMPORTS"])]
+    e, known = edges(spark, *rows, ("CALLS", "n01", "unknown", None)), spark.createDataFrame([(f"n{i:02d}",) for i in range(60)], "id string")
+    near = {}
+    for kind, a, b, _ in rows:
+        for x, y in ((a, b), (b, a)):
+            if x != y:
+                near.setdefault(x, {}).setdefault(y, []).append(kind)
+    want = set()
+    for seed in sorted(near):
+        seen, last = {seed}, [seed]
+        for d, limit in ((1, 4), (2, 9)):
+            found = {}
+            for a in last:
+                for b, kinds in near[a].items():
+                    if b not in seen:
+                        found.setdefault(b, []).extend(kinds)
+            last = sorted(found)[: limit - len(seen)]
+            seen |= {*last}
+            want |= {(seed, b, min(found[b]), d) for b in last}
+    seeds, got = known.withColumnRenamed("id", "seed"), lambda df: sorted(tuple(r) for r in df.where("depth > 0").collect())
+    one = traverse.neighbourhood(seeds, e, known, 1, 4)
+    assert got(traverse.neighbourhood(seeds, e, known, 2, [4, 9])) == sorted(want)
+    assert got(traverse.neighbourhood(None, e, known, 1, 9, start=one)) == sorted(want)
+    assert got(traverse.neighbourhood(seeds, e, known, 2, [4, 9], since=2)) == sorted(r for r in want if r[3] == 2)
+    assert traverse.neighbourhood(seeds, e, known, 2, 1, since=2).count() == 0
+
+
+def test_neighbourhood_does_not_shuffle_candidates(spark):
+    """400 seeds call 24 of 200 methods each, and meet some 400 candidates at the second hop, of which 25 stay: these alone are moved."""
+    rng, name = random.Random(1), lambda k, i: k + hashlib.sha256(f"{k}{i}".encode()).hexdigest()
+    e = edges(spark, *[("CALLS", name("m", i), name("h", k), None) for i in range(400) for k in rng.sample(range(200), 24)]).localCheckpoint()
+    known = spark.createDataFrame([(name("m", i),) for i in range(400)] + [(name("h", k),) for k in range(200)], "id string").localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    assert traverse.neighbourhood(known.where("id like 'm%'").withColumnRenamed("id", "seed"), e, known, 2, 50).agg(F.count("id")).first()[0] == 400 * 50
+    assert shuffled() - before < 4_000_000
+
+
 def test_test_impact(spark):
     e = edges(spark, ("CALLS", "t1", "m", "typed"), ("CALLS", "h", "m", "typed"), ("CALLS", "t2", "h", "typed"), ("CALLS", "m", "m", "typed"))
     n = nodes(spark, ("Method", "m", None, "p", None, "c", T1), ("Method", "h", None, "p", None, "c", T1), ("Method", "t1", None, "p", True, "c", T1), ("Method", "t2", None, "p", True, "c", T1))
